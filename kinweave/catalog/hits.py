@@ -65,8 +65,8 @@ def _(spark, d):
 
 
 @query("ani_weight", oracle("""select split_part(concat(query, ' genome'), ' ', 1) as source, target,
-    round(avg(pident) * greatest(max(100.0 * alnlen / qlen), max(100.0 * alnlen / tlen)) / 10000, 6) as weight,
-    round(avg(pident), 6) as raw from v_hits group by query, target""", "v_hits"))
+    round(avg(pident) * greatest(max(100.0 * alnlen / qlen), max(100.0 * alnlen / tlen)) / 10000, 9) as weight,
+    round(avg(pident), 9) as raw from v_hits group by query, target""", "v_hits"))
 def _(spark, d):
     pairs = spark_view(spark, d, "v_hits").groupBy(
         F.concat("query", F.lit(" genome")).alias("Query_name"), F.col("target").alias("Ref_name")).agg(
@@ -74,7 +74,7 @@ def _(spark, d):
         F.max(100.0 * F.col("alnlen") / F.col("tlen")).alias("Align_fraction_ref"))
     raw = H.ani_weight(pairs, use_fractions=False).withColumnRenamed("weight", "raw")
     return H.ani_weight(pairs).join(raw, ["source", "target"]).withColumns(
-        {"weight": F.round("weight", 6), "raw": F.round("raw", 6)})
+        {"weight": F.round("weight", 9), "raw": F.round("raw", 9)})
 
 
 # --- presence/absence and set sharing ------------------------------------------------------
@@ -225,10 +225,11 @@ def _(spark, d):
     having count(*) <= ceil(0.8 * (select count(distinct query) from v_best))) using (target)), {tested_sql('pa', 'pa')}
     select 'gene' as graph, i as source, j as target, round(-log_p / ln(10), 5) as weight from tail
     where log_p <= ln(0.1) and log_p < 0
-    union all select 'ani', query, target, round(greatest(sum(alnlen)::double / min(least(qlen, tlen)), 0.2), 5) from kept group by query, target""", "v_hits"))
+    union all select 'ani', query, target, round(greatest(sum(alnlen)::double / min(least(qlen, tlen)), 0.2), 9) from kept group by query, target""", "v_hits"))
 def _(spark, d):
     hits = spark_view(spark, d, "v_hits")
-    return build_graphs(hits, hits, WorkflowParams()).withColumn("weight", F.round("weight", 5))
+    return build_graphs(hits, hits, WorkflowParams()).withColumn(
+        "weight", F.when(F.col("graph") == "gene", F.round("weight", 5)).otherwise(F.round("weight", 9)))
 
 
 @query("hallmark_network", oracle(f"""with best as (select query, target, qstart, qend from (select *, row_number() over (partition by query, target

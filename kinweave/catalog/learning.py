@@ -17,6 +17,7 @@ from kinweave.operators import triangles as T
 from kinweave.operators.taxonomy import relationship_bounds
 from kinweave.plans.classify import classify_queries, evaluate_database
 from kinweave.plans.params import WorkflowParams
+from kinweave.sources.staging import materialize
 
 K = 4
 
@@ -256,7 +257,7 @@ def _(spark, d):
 def side_rows(spark, d):
     emb = table(spark, d, "embeddings").select(F.concat(F.lit("C"), "vec_id", F.lit(".1")).alias("node"),
                                                F.slice("embedding", 1, 8).alias("emb"))
-    return T.triangle_features(edge_triangles(spark, d), emb, *two_graphs(spark, d), 8)
+    return materialize(T.triangle_features(edge_triangles(spark, d), emb, *two_graphs(spark, d), 8), "rows")
 
 
 @query("triangle_refine")

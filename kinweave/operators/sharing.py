@@ -56,20 +56,22 @@ def min_occurrence_filter(pa: DataFrame, min_sets: int = 2, min_items: int = 1)
 def _tested_pairs(pa: DataFrame, universe: Column, alpha: float) -> DataFrame:
     """Pairs with ln P[shared >= c] <= ln alpha as (i, j, c, a, b, log_p).
 
-    Set sizes travel with the rows, so the pair aggregate needs no second join.
-    The first term of the tail is a lower bound of it and drops most other pairs
-    before the sum is formed.
+    Set sizes travel with the rows, so the pair aggregate needs no second join,
+    and the universe enters it once.  The first term of the tail is a lower bound
+    of it and drops most other pairs before the sum is formed.  Exploding a
+    filtered one-element array computes and tests each value once; a filter over
+    a computed column would be pushed below it and computed twice.
     """
     sized = pa.join(set_size(pa), "query")
     pairs = (pairs_within(sized, ["target"], "query", ["size"])
              .groupBy("i", "j", F.col("size_i").alias("a"), F.col("size_j").alias("b"))
-             .agg(F.count("*").alias("c"))
-             .withColumn("u", universe))
+             .agg(F.count("*").alias("c"), F.first(universe).alias("u")))
     limit = math.log(alpha)
     c, a, b, u = F.col("c"), F.col("a"), F.col("b"), F.col("u")
-    return (pairs.where(log_point(c, a, b, u) <= limit + 1e-9)
-            .withColumn("log_p", log_upper_tail(c, a, b, u))
-            .where(F.col("log_p") <= limit).drop("u"))
+    first = F.filter(F.array(log_point(c, a, b, u)), lambda x: x <= limit + 1e-9)
+    likely = pairs.select("*", F.explode(first).alias("first"))
+    tail = F.filter(F.array(log_upper_tail(F.col("first"), c, a, b, u)), lambda x: x <= limit)
+    return likely.select("i", "j", "c", "a", "b", F.explode(tail).alias("log_p"))
 
 
 def hypergeom_edges(pa: DataFrame, alpha: float = 0.1, max_freq: float = 0.8, weight: str = "neglog10") -> DataFrame:

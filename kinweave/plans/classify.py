@@ -49,7 +49,7 @@ def training_pairs(nodes: DataFrame, graphs: list[DataFrame], seed: int) -> Data
     with the graph, not with the square of the nodes.
     """
     numbered = with_ordinal(nodes.select("node"), ["node"], salt="partner", digits=3)
-    n = numbered.agg(F.count("*")).scalar()
+    n = nodes.agg(F.count("*")).scalar()
     draws = (numbered.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(RANDOM_PARTNERS - 1))))
              .withColumn("other", F.floor(uniform("ordinal", "t", seed) * n).cast("bigint")))
     partners = draws.join(numbered.select(F.col("node").alias("mate"), F.col("ordinal").alias("other")), "other")
