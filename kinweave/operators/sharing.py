@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.hypergeom import log_upper_tail, log_point
+from kinweave.functions.hypergeom import log_upper_tail
 from kinweave.operators.skew import pairs_within
-from kinweave.sources.staging import materialize
+from kinweave.sources.staging import broadcast_if_small, materialize
 
 
 def presence_absence(hits: DataFrame, set_col: str = "query", item_col: str = "target") -> DataFrame:
@@ -24,10 +24,13 @@ def merge_presence_absence(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def ubiquity_filter(pa: DataFrame, max_freq: float = 0.8) -> DataFrame:
     """Keep the items that occur in at most ceil(max_freq * number of sets) sets."""
+    return pa.join(frequent_items(pa, max_freq).select("target"), "target", "left_semi").select("query", "target")
+
+
+def frequent_items(pa: DataFrame, max_freq: float) -> DataFrame:
+    """(target, freq) of the items in at most ceil(max_freq * number of sets) sets."""
     n_sets = pa.agg(F.count_distinct("query").alias("n")).scalar()
-    items = pa.groupBy("target").agg(F.count("*").alias("freq")).where(
-        F.col("freq") <= F.ceil(F.lit(max_freq) * n_sets))
-    return pa.join(items.select("target"), "target", "left_semi").select("query", "target")
+    return item_frequency(pa).where(F.col("freq") <= F.ceil(F.lit(max_freq) * n_sets))
 
 
 def set_size(pa: DataFrame) -> DataFrame:
@@ -53,44 +56,60 @@ def min_occurrence_filter(pa: DataFrame, min_sets: int = 2, min_items: int = 1)
     return kept.join(sets, "query", "left_semi").select("query", "target")
 
 
-def _tested_pairs(pa: DataFrame, universe: Column, alpha: float) -> DataFrame:
-    """Pairs with ln P[shared >= c] <= ln alpha as (i, j, c, a, b, log_p).
+def _numbered(table: DataFrame, name: str, label: str) -> DataFrame:
+    """Give each row an integer id; written at once, so the ids stay as they are."""
+    return materialize(table.withColumn(name, F.monotonically_increasing_id()), label)
+
+
+def _tested_pairs(pa: DataFrame, items: DataFrame, universe: int, alpha: float) -> DataFrame:
+    """Pairs with ln P[shared >= c] <= ln alpha as (source, target, c, a, b, log_p).
 
-    Set sizes travel with the rows, so the pair aggregate needs no second join,
-    and the universe enters it once.  The first term of the tail is a lower bound
-    of it and drops most other pairs before the sum is formed.  Exploding a
-    filtered one-element array computes and tests each value once; a filter over
-    a computed column would be pushed below it and computed twice.
+    ``items`` holds the kept items with their frequency.  Pairs are counted on
+    integer ids; set sizes travel with the rows, so the pair aggregate needs no
+    second join.  Many pairs agree in (a, b, c): the tail is formed once per
+    distinct triple and joined back.  Triples and set names are broadcast if they
+    are few enough.
     """
-    sized = pa.join(set_size(pa), "query")
-    pairs = (pairs_within(sized, ["target"], "query", ["size"])
-             .groupBy("i", "j", F.col("size_i").alias("a"), F.col("size_j").alias("b"))
-             .agg(F.count("*").alias("c"), F.first(universe).alias("u")))
-    limit = math.log(alpha)
-    c, a, b, u = F.col("c"), F.col("a"), F.col("b"), F.col("u")
-    first = F.filter(F.array(log_point(c, a, b, u)), lambda x: x <= limit + 1e-9)
-    likely = pairs.select("*", F.explode(first).alias("first"))
-    tail = F.filter(F.array(log_upper_tail(F.col("first"), c, a, b, u)), lambda x: x <= limit)
-    return likely.select("i", "j", "c", "a", "b", F.explode(tail).alias("log_p"))
+    items = _numbered(items, "item", "items")
+    rows = pa.join(items, "target")
+    sets = _numbered(set_size(rows), "set", "sets")
+    sized = rows.join(sets, "query").select("item", "freq", "set", "size")
+    pairs = materialize(
+        pairs_within(sized, ["item"], "set", ["size"], freq="freq")
+        .groupBy("i", "j", F.col("size_i").alias("a"), F.col("size_j").alias("b"))
+        .agg(F.count("*").alias("c")), "pairs")
+    c, a, b, u = F.col("c"), F.col("a"), F.col("b"), F.lit(universe).cast("bigint")
+    triples = pairs.select("a", "b", "c").distinct()
+    tails = materialize(triples.withColumn("log_p", log_upper_tail(c, a, b, u)), "tails")
+    significant = broadcast_if_small(tails.where(F.col("log_p") <= math.log(alpha)))
+    names = broadcast_if_small(sets.select("query", "set"))
+    left = names.select(F.col("set").alias("i"), F.col("query").alias("left"))
+    right = names.select(F.col("set").alias("j"), F.col("query").alias("right"))
+    found = pairs.join(significant, ["a", "b", "c"]).join(left, "i").join(right, "j")
+    swap = F.col("left") > F.col("right")
+    return found.select(F.least("left", "right").alias("source"), F.greatest("left", "right").alias("target"), "c",
+                        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+                        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "log_p")
 
 
 def hypergeom_edges(pa: DataFrame, alpha: float = 0.1, max_freq: float = 0.8, weight: str = "neglog10") -> DataFrame:
     """Set pairs that share more items than chance allows, weighted by -log10 p or c / min(a, b)."""
-    kept = ubiquity_filter(pa, max_freq)
-    universe = kept.agg(F.count_distinct("target").alias("u")).scalar()
-    tested = _tested_pairs(kept, universe, alpha)
+    pa = materialize(pa, "presence")
+    items = materialize(frequent_items(pa, max_freq), "items")
+    tested = _tested_pairs(pa, items, items.count(), alpha)
     value = (-F.col("log_p") / math.log(10.0) if weight == "neglog10"
              else F.col("c") / F.least("a", "b"))
-    return tested.select(F.col("i").alias("source"), F.col("j").alias("target"), value.alias("weight"))
+    return tested.select("source", "target", value.alias("weight"))
 
 
 def hypergeom_edges_legacy(pa: DataFrame, alpha: float = 0.05, min_items: int = 1) -> DataFrame:
     """Older variant: universe of all items, sets of at least ``min_items``, weight -ln(p + 1e-15)."""
-    universe = pa.agg(F.count_distinct("target").alias("u")).scalar()
+    pa = materialize(pa, "presence")
+    universe = pa.agg(F.count_distinct("target")).first()[0]
     sets = set_size(pa).where(F.col("size") >= min_items).select("query")
-    tested = _tested_pairs(pa.join(sets, "query", "left_semi"), universe, alpha)
-    return tested.select(F.col("i").alias("source"), F.col("j").alias("target"),
-                         (-F.log(F.exp("log_p") + 1e-15)).alias("weight"))
+    large = pa.join(sets, "query", "left_semi")
+    tested = _tested_pairs(large, item_frequency(large), universe, alpha)
+    return tested.select("source", "target", (-F.log(F.exp("log_p") + 1e-15)).alias("weight"))
 
 
 def hallmark_items(pa: DataFrame, top_n: int = 3) -> DataFrame:

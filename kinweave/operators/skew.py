@@ -44,15 +44,17 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], group: Sequence[str] = (),
 
 
 def pairs_within(df: DataFrame, group: Sequence[str], id_col: str, carry: Sequence[str] = (),
-                 block: int = 2048) -> DataFrame:
+                 block: int = 2048, freq: str | None = None) -> DataFrame:
     """Unordered id pairs sharing a group value: (group, i, j, carry_i, carry_j), i < j.
 
     A group's members are hashed into blocks of about ``block`` rows, and the join
     key is (group, low block, high block): one task pairs two blocks at most,
-    however large the group is.
+    however large the group is.  ``freq`` names a column that already holds the
+    group's row count.
     """
-    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
-    rows = df.join(sizes, list(group)).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int"))
+    if freq is None:
+        df = df.join(df.groupBy(*group).agg(F.count("*").alias("_freq")), list(group))
+    rows = df.withColumn("_blocks", F.ceil(F.col(freq or "_freq") / F.lit(block)).cast("int")).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int"))
     left = rows.select(*group, F.col("_b").alias("_lo"), F.explode(F.sequence("_b", F.col("_blocks") - 1)).alias("_hi"),
                        F.col(id_col).alias("_l"), *[F.col(c).alias(f"_l_{c}") for c in carry])
     right = rows.select(*group, F.col("_b").alias("_hi"), F.explode(F.sequence(F.lit(0), "_b")).alias("_lo"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -43,6 +44,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Mark a written table of a few narrow columns for broadcast if its row count allows it.
+
+    Beyond ``max_rows`` the join stays a shuffle join.
+    """
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
