@@ -108,17 +108,14 @@ def _(spark, d):
     return inside.union(G.semi_filter(taxa, ids, "Accession", "source", negate=True).select("row_no", F.lit(False)))
 
 
-_SAMPLE_HASH = hash_order_sql("sample", "source", "target", "cast(cast(weight * 1000000 as bigint) as varchar)")
-
-
-@query("edge_first_sample", oracle(f"""with h as (select source, target, cast(round(weight * 1000000) as bigint) as micro from v_edges),
-    r as (select *, {hash_order_sql('sample', 'source', 'target', 'micro')} as hash from h),
+@query("edge_first_sample", oracle(f"""with h as (select source, target, cast(round(weight * 100000000) as bigint) as units from v_edges),
+    r as (select *, {hash_order_sql('sample', 'source', 'target', 'units')} as hash from h),
     f as (select node, min(hash) as first from (select source as node, hash from r union all select target, hash from r) group by node),
     c as (select max(first) as last from (select first from f order by first limit 100))
-    select source, target, micro from r, c where hash <= last""", "v_edges"))
+    select source, target, units from r, c where hash <= last""", "v_edges"))
 def _(spark, d):
     edges = spark_view(spark, d, "v_edges").select(
-        "source", "target", F.round(F.col("weight") * 1000000).cast("bigint").alias("micro"))
+        "source", "target", F.round(F.col("weight") * 100000000).cast("bigint").alias("units"))
     return G.edge_first_sample(edges, 100)
 
 

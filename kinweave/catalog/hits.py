@@ -236,7 +236,7 @@ def _(spark, d):
     order by -bitscore, qstart, qend, bitscore) as rn from v_gene_hits where bitscore >= 50) where rn = 1),
     pa as materialized (select target as query, query as target from best where query in (select query from best group by query having count(*) >= 2)),
     {tested_sql('pa', 'pa')}, shared as materialized (select i, j, -ln(exp(log_p) + 1e-15) as weight from tail where log_p <= ln(0.05)),
-    {cover_sql('pa')},
+    {cover_sql('pa', 40)},
     sl as (select best.query as gene, best.target as id, substring(seq, qstart, qend - qstart + 1) as s
     from best join v_seq on v_seq.id = best.target where best.query in (select target from picks)),
     dists as (select i, j, 1.0 - (select sum((substring(l.s, p, 1) = substring(r.s, p, 1))::int) from range(1, length(l.s) + 1) t(p)) / length(l.s) as dist

@@ -199,13 +199,13 @@ def two_graphs(spark, d):
     return G.undirected_max(edges), G.undirected_max(edges.withColumn("weight", 1 - F.col("weight")))
 
 
-@query("edge_weight_lookup", oracle(f"""with {WEIGHT_SQL} select id, round(coalesce(a.ani, 0), 6) as ani1, round(coalesce(a.hyp, 0), 6) as hyp1,
-    round(coalesce(b.ani, 0), 6) as ani2, round(coalesce(b.hyp, 0), 6) as hyp2, round(coalesce(c.ani, 0), 6) as ani3, round(coalesce(c.hyp, 0), 6) as hyp3
+@query("edge_weight_lookup", oracle(f"""with {WEIGHT_SQL} select id, round(coalesce(a.ani, 0), 8) as ani1, round(coalesce(a.hyp, 0), 8) as hyp1,
+    round(coalesce(b.ani, 0), 8) as ani2, round(coalesce(b.hyp, 0), 8) as hyp2, round(coalesce(c.ani, 0), 8) as ani3, round(coalesce(c.hyp, 0), 8) as hyp3
     from tri left join und a on a.u = least(q, r1) and a.v = greatest(q, r1) left join und b on b.u = least(q, r2) and b.v = greatest(q, r2)
     left join und c on c.u = least(r1, r2) and c.v = greatest(r1, r2)""", "v_edges", "v_taxa"))
 def _(spark, d):
     out = T.edge_weight_lookup(edge_triangles(spark, d), *two_graphs(spark, d))
-    return out.select("id", *[F.round(f"{g}{n}", 6).alias(f"{g}{n}") for n in (1, 2, 3) for g in ("ani", "hyp")])
+    return out.select("id", *[F.round(f"{g}{n}", 8).alias(f"{g}{n}") for n in (1, 2, 3) for g in ("ani", "hyp")])
 
 
 @query("triangle_features", oracle(f"""with {WEIGHT_SQL}, sd as (select id, 1 as side, q as a, r1 as b, lo1 as lower, up1 as upper from tri
@@ -216,7 +216,7 @@ def _(spark, d):
       coalesce(ani, 0.0) as ani, coalesce(hyp, 0.0) as hyp from sd cross join z left join em x on x.node = a left join em y on y.node = b
       left join und on u = least(a, b) and v = greatest(a, b))
     select id, side, cast(lower as int) as lower, cast(upper as int) as upper, known, round(list_sum(list_transform(list_zip(xa, xb), lambda p: p[1] + 2 * p[2])), 5) as ends,
-    round(list_sum(list_transform(list_zip(xa, xb), lambda p: abs(p[1] - p[2]))), 5) as gap, round(ani, 6) as ani, round(hyp, 6) as hyp, cast(26 as int) as width from fs""",
+    round(list_sum(list_transform(list_zip(xa, xb), lambda p: abs(p[1] - p[2]))), 5) as gap, round(ani, 8) as ani, round(hyp, 8) as hyp, cast(26 as int) as width from fs""",
     "v_edges", "v_taxa"))
 def _(spark, d):
     emb = table(spark, d, "embeddings").select(F.concat(F.lit("C"), "vec_id", F.lit(".1")).alias("node"),
@@ -226,7 +226,7 @@ def _(spark, d):
     ends = O.total(F.zip_with(F.slice(f, 1, 8), F.slice(f, 9, 8), lambda x, y: x + 2 * y))
     return rows.select("id", "side", "lower", "upper", "known", F.round(ends, 5).alias("ends"),
                        F.round(O.total(F.transform(F.slice(f, 17, 8), F.abs)), 5).alias("gap"),
-                       F.round(f[24], 6).alias("ani"), F.round(f[25], 6).alias("hyp"), F.size(f).alias("width"))
+                       F.round(f[24], 8).alias("ani"), F.round(f[25], 8).alias("hyp"), F.size(f).alias("width"))
 
 
 @query("seeded_split", oracle(f"""with n as (select node, row_number() over (order by {hash_order_sql('split', 'node')}, node) - 1 as o,

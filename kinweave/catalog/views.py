@@ -44,7 +44,7 @@ VIEWS = {
         from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey""",
     "v_edges": """select concat('C', o_custkey, '.1') as source,
         concat('C', (o_custkey * 7 + o_orderkey) % (select count(*) from {customer}), '.1') as target,
-        round(o_totalprice / 500000, 6) as weight from {orders}""",
+        round(o_totalprice / 500000, 8) as weight from {orders}""",
     "v_pred": """select concat('C', c_custkey, '.2') as Accession, r_name as Family, n_name as Subfamily,
         case when c_custkey % 9 = 0 then 'Unclassified' else concat(n_name, '-', c_mktsegment) end as Genus
         from {customer} join {nation} on (c_nationkey + case when c_custkey % 4 = 0 then 1 else 0 end) % 25 = n_nationkey
