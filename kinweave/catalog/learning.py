@@ -284,7 +284,7 @@ def _(spark, d):
     return rows.select("vec_id", F.col("cls").cast("bigint").alias("cls"), F.round("prob", 6).alias("prob"))
 
 
-SMALL = WorkflowParams(walk_length=6, walks_per_node=2, dim=16, epochs=1, window=3, triangles_train=400,
+SMALL = WorkflowParams(walk_length=4, walks_per_node=2, dim=16, epochs=1, window=3, triangles_train=400,
                        triangles_eval=100, max_recycles=1)
 
 

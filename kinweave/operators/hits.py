@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str = "row_no") -> Dat
     return first_by(df, keys, [F.col(order)])
 
 
-def _scan_without_overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan_without_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk rows sorted by pair and rank; keep a hit that overlaps no kept hit of its pair.
 
     State is the kept intervals of the current pair: the forward ones are
@@ -48,7 +48,7 @@ def _scan_without_overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
     pair, starts, ends, reverse = None, [], [], []
     for batch in batches:
         keep = []
-        for q, t, qs, qe in zip(batch["query"], batch["target"], batch["qstart"], batch["qend"]):
+        for q, t, qs, qe in zip(*[batch[c].to_pylist() for c in ("query", "target", "qstart", "qend")]):
             if pair != (q, t):
                 pair, starts, ends, reverse = (q, t), [], [], []
             at = bisect_left(starts, qe)
@@ -62,7 +62,7 @@ def _scan_without_overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
                 ends.insert(at, qe)
             elif not overlaps:
                 reverse.append((qs, qe))
-        yield batch[keep]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def greedy_overlap_filter(hits: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def greedy_overlap_filter(hits: DataFrame) -> DataFrame:
     ranked = forward.unionByName(hits.where("qstart >= qend")).withColumn("_rank", weight)
     ordered = (ranked.repartition("query", "target")
                .sortWithinPartitions("query", "target", "_rank", "qstart", "qend", *rest))
-    return ordered.mapInPandas(_scan_without_overlap, ordered.schema).drop("_rank")
+    return ordered.mapInArrow(_scan_without_overlap, ordered.schema).drop("_rank")
 
 
 def ani_simple(hits: DataFrame) -> DataFrame:
