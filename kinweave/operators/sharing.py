@@ -64,13 +64,12 @@ def _numbered(table: DataFrame, name: str, label: str) -> DataFrame:
 def _tested_pairs(pa: DataFrame, items: DataFrame, universe: int, alpha: float) -> DataFrame:
     """Pairs with ln P[shared >= c] <= ln alpha as (source, target, c, a, b, log_p).
 
-    ``items`` holds the kept items with their frequency.  Pairs are counted on
+    ``items`` holds the kept items with their frequency and id.  Pairs are counted on
     integer ids; set sizes travel with the rows, so the pair aggregate needs no
     second join.  Many pairs agree in (a, b, c): the tail is formed once per
     distinct triple and joined back.  Triples and set names are broadcast if they
     are few enough.
     """
-    items = _numbered(items, "item", "items")
     rows = pa.join(items, "target")
     sets = _numbered(set_size(rows), "set", "sets")
     sized = rows.join(sets, "query").select("item", "freq", "set", "size")
@@ -95,7 +94,7 @@ def _tested_pairs(pa: DataFrame, items: DataFrame, universe: int, alpha: float)
 def hypergeom_edges(pa: DataFrame, alpha: float = 0.1, max_freq: float = 0.8, weight: str = "neglog10") -> DataFrame:
     """Set pairs that share more items than chance allows, weighted by -log10 p or c / min(a, b)."""
     pa = materialize(pa, "presence")
-    items = materialize(frequent_items(pa, max_freq), "items")
+    items = _numbered(frequent_items(pa, max_freq), "item", "items")
     tested = _tested_pairs(pa, items, items.count(), alpha)
     value = (-F.col("log_p") / math.log(10.0) if weight == "neglog10"
              else F.col("c") / F.least("a", "b"))
@@ -108,7 +107,7 @@ def hypergeom_edges_legacy(pa: DataFrame, alpha: float = 0.05, min_items: int =
     universe = pa.agg(F.count_distinct("target")).first()[0]
     sets = set_size(pa).where(F.col("size") >= min_items).select("query")
     large = pa.join(sets, "query", "left_semi")
-    tested = _tested_pairs(large, item_frequency(large), universe, alpha)
+    tested = _tested_pairs(large, _numbered(item_frequency(large), "item", "items"), universe, alpha)
     return tested.select("source", "target", (-F.log(F.exp("log_p") + 1e-15)).alias("weight"))
 
 
