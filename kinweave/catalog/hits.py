@@ -127,10 +127,9 @@ def tested_sql(source: str, universe: str) -> str:
     select i as source, j as target, round(-log_p / ln(10), 5) as weight, round(c / least(a, b), 6) as ratio
     from tail where log_p <= ln(0.1)""", "v_items"))
 def _(spark, d):
-    pa = spark_view(spark, d, "v_items")
-    ratio = S.hypergeom_edges(pa, weight="ratio").withColumnRenamed("weight", "ratio")
-    return S.hypergeom_edges(pa).join(ratio, ["source", "target"]).select(
-        "source", "target", F.round("weight", 5).alias("weight"), F.round("ratio", 6).alias("ratio"))
+    pairs = S.hypergeom_pairs(spark_view(spark, d, "v_items"))
+    return pairs.select("source", "target", F.round(S.pair_weight(), 5).alias("weight"),
+                        F.round(S.pair_weight("ratio"), 6).alias("ratio"))
 
 
 @query("hypergeom_edges_legacy", oracle(f"""with sz as (select query from v_items group by query having count(*) >= 20),

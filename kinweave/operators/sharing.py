@@ -91,14 +91,25 @@ def _tested_pairs(pa: DataFrame, items: DataFrame, universe: int, alpha: float)
                         F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "log_p")
 
 
-def hypergeom_edges(pa: DataFrame, alpha: float = 0.1, max_freq: float = 0.8, weight: str = "neglog10") -> DataFrame:
-    """Set pairs that share more items than chance allows, weighted by -log10 p or c / min(a, b)."""
+def hypergeom_pairs(pa: DataFrame, alpha: float = 0.1, max_freq: float = 0.8) -> DataFrame:
+    """Set pairs that share more items than chance allows: (source, target, c, a, b, log_p)."""
     pa = materialize(pa, "presence")
     items = _numbered(frequent_items(pa, max_freq), "item", "items")
-    tested = _tested_pairs(pa, items, items.count(), alpha)
-    value = (-F.col("log_p") / math.log(10.0) if weight == "neglog10"
-             else F.col("c") / F.least("a", "b"))
-    return tested.select("source", "target", value.alias("weight"))
+    return _tested_pairs(pa, items, items.count(), alpha)
+
+
+def pair_weight(weight: str = "neglog10") -> Column:
+    """Weight of a tested pair: -log10 p, or the shared part c / min(a, b)."""
+    if weight == "neglog10":
+        return -F.col("log_p") / math.log(10.0)
+    if weight == "ratio":
+        return F.col("c") / F.least("a", "b")
+    raise ValueError(f"unknown weight {weight!r}")
+
+
+def hypergeom_edges(pa: DataFrame, alpha: float = 0.1, max_freq: float = 0.8, weight: str = "neglog10") -> DataFrame:
+    """Sharing graph (source, target, weight) of the significant pairs."""
+    return hypergeom_pairs(pa, alpha, max_freq).select("source", "target", pair_weight(weight).alias("weight"))
 
 
 def hypergeom_edges_legacy(pa: DataFrame, alpha: float = 0.05, min_items: int = 1) -> DataFrame:

@@ -50,6 +50,8 @@ def test_edges_against_brute_force(spark):
     got = {(r.source, r.target): r.weight for r in S.hypergeom_edges(presence(spark, sets)).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    ratio = {(r.source, r.target): r.weight for r in S.hypergeom_edges(presence(spark, sets), weight="ratio").collect()}
+    assert ratio == {(x, y): pytest.approx(len(kept[x] & kept[y]) / min(len(kept[x]), len(kept[y]))) for x, y in want}
 
 
 def test_no_item_left_gives_no_edge(spark):
