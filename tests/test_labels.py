@@ -84,7 +84,7 @@ def test_fasta_text(spark, tmp_path):
 
 def test_pieces_are_written_as_one_record(spark):
     path = staging.scratch_path(spark, "fasta")
-    pieces = spark.createDataFrame([("r", 0, "AAA"), ("r", 1, "CCC"), ("s", 0, "G")], "id string, piece int, seq string").coalesce(1)
+    pieces = spark.createDataFrame([("r", 1, "CCC"), ("s", 0, "G"), ("r", 0, "AAA")], "id string, piece int, seq string")
     writers.write_fasta(pieces, path)
     assert {r.id: r.seq for r in readers.read_fasta(spark, path).collect()} == {"r": "AAACCC", "s": "G"}
 
