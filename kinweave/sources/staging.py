@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting (tests) gets a temporary
-    folder of this machine; on a cluster the setting is required.
+    Where that is unset, a folder below the session's warehouse, which all executors of a session share, is set as
+    checkpoint directory and used.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = context.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="kinweave-")
-        context.setCheckpointDir(_LOCAL_DIRS[app])
-    return _LOCAL_DIRS[app]
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinweave-scratch"
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
