@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Bytes of labelled text per language that a model keeps, and rows looked at for them (those of least hash).
-SAMPLE_BYTES = 24_000
-SAMPLE_ROWS = 64
+#: Rows per language that a model is made of (those of least hash), and characters that each row gives.  Many short
+#: excerpts keep a repeated passage or a text in two languages from standing for its language.
+SAMPLE_ROWS = 96
+SAMPLE_CHARS = 256
 #: A text is read in pieces of so many bytes, all of them; a phrase ends where a piece does.
 PIECE = 2048
 #: Pieces read at a time: bounds a task's memory for a batch of any size.
@@ -110,22 +111,19 @@ class Parser:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
-        sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Keep ``sample_bytes`` of labelled text per language, from the ``sample_rows`` rows of least hash.
+        sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Keep an excerpt of ``sample_chars`` characters of each of the ``sample_rows`` labelled rows of least hash.
 
-    Rows without a language or without text are not used.  Only the first ``sample_bytes`` of a row can matter, so no
-    more of it leaves its task: at most languages * rows * bytes come to the driver.  Without labelled rows the model
-    has no language.
+    Rows without a language or without text are not used.  At most languages * rows * characters come to the driver.
+    Without labelled rows the model has no language.
     """
-    rank = F.struct(F.xxhash64(F.col(key_col).cast("string"), F.col(text_col)).alias("h"), F.substring(text_col, 1, sample_bytes).alias("t"))
+    rank = F.struct(F.xxhash64(F.col(key_col).cast("string"), F.col(text_col)).alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), rank["h"].alias("h"), rank["t"].alias("t"))
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= sample_rows)
-    found: dict[str, bytes] = {}
+    found: dict[str, list[bytes]] = {}
     for r in sorted(best.select("lang", "n", F.lower("t").alias("t")).collect(), key=lambda r: (r.lang, r.n)):
-        held = found.get(r.lang, b"")
-        if len(held) < sample_bytes:
-            found[r.lang] = (held + r.t.encode() + b"\n")[:sample_bytes]
-    return Model(sorted(found), [found[k] for k in sorted(found)])
+        found.setdefault(r.lang, []).append(r.t.encode())
+    return Model(sorted(found), [b"\n".join(found[k]) for k in sorted(found)])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

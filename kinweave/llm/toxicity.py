@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from kinweave.llm.words import WordHasher, chain, not_letters, slabs
 
 #: Labelled rows that a fit reads at most; the rows of least hash are taken.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 20_000
 BITS = 22
 THRESHOLD = 0.7
 
@@ -44,8 +44,8 @@ def features(hasher: WordHasher, texts: pa.Array, bits: int) -> tuple[np.ndarray
     return np.concatenate(rows), (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def ftrl(examples, bits: int, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5) -> tuple[float, np.ndarray]:
-    """One pass of FTRL-proximal over (label, distinct buckets); the bias is a coordinate without a penalty."""
+def ftrl(examples, bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[float, np.ndarray]:
+    """FTRL-proximal over a stream of (label, distinct buckets); the bias is a coordinate without a penalty."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
 
@@ -67,7 +67,7 @@ def ftrl(examples, bits: int, alpha: float = 0.2, beta: float = 1.0, l1: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        rows: int = SAMPLE_ROWS, bits: int = BITS, epochs: int = 2) -> Model:
+        rows: int = SAMPLE_ROWS, bits: int = BITS, epochs: int = 6) -> Model:
     """Fit on at most ``rows`` labelled documents.
 
     Rows without id or label are not used; an id that is labelled twice counts as 1 if any of its labels is, and an id
