@@ -7,9 +7,9 @@ the whole shingle sets.
 
 Whatever has the same shingle set is one node, so copies are never paired.  Within a bucket every node meets the
 bucket's most central node first.  Once the links found so have been joined to components, only pairs of a bucket that
-lie in different components can still join anything; they are all tried, centre by centre while there are many, and
-pair by pair at the end.  So no bucket of near copies is expanded to all its pairs, and no link that could join two
-components is left out.
+lie in different components can still join anything; of these, all that can meet the threshold by the places of their
+first shared shingle are confirmed.  So no bucket of near copies is expanded to all its pairs, and no link that could
+join two components is left out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from kinweave.llm.components import component_labels
-from kinweave.llm.words import WordHasher, chain, mix64, slabs, white_space
+from kinweave.llm.words import WordHasher, chain, mix64, slabs, sub_batches, white_space
 from kinweave.operators.skew import pairs_within
 from kinweave.sources.staging import broadcast_if_small, materialize
 
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
     def run(batches):
         hasher = WordHasher(white_space(), fold=True)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, 2)):
             counts, nodes, found = [], [], []
             for s in batch_sets(hasher, batch.column(2)):
                 counts.append(len(s))
@@ -110,7 +110,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher(white_space(), fold=True)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, 0)):
             sets = batch_sets(hasher, batch.column(0))
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()),
                                             pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
@@ -129,7 +129,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
-                    rows: int = ROWS, many: int = 4) -> DataFrame:
+                    rows: int = ROWS) -> DataFrame:
     """One row per document: (doc_id, text_key, n_shingles, node, component_id, kept).
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of distinct five-word shingles.
@@ -137,9 +137,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts of white space only have no set and stay alone.  Rows with one doc_id and different texts are linked by their
     texts only.  A null doc_id never becomes a component_id unless the component has no other.  An empty table gives
     an empty table.  Other columns of ``docs`` are not looked at, so their names do not matter.
-
-    ``many``: buckets are tried centre by centre while more than ``many`` pairs per row of buckets are left and each
-    round still settles a fifth of them; what is left then is tried pair by pair, in blocks.
     """
     rows_of = materialize(signatures(docs, id_col, text_col, bands_for(percent / 100, rows), rows), "signatures")
     nodes = materialize(rows_of.where("node is not null").groupBy("node")
@@ -155,41 +152,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = docs.select(F.col(id_col), F.col(text_col)).join(held, known, "left_semi")
     wanted = members.select("node").distinct()
     sets = materialize(_sets(chosen, id_col, text_col).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    labels = materialize(wanted.withColumn("label", F.col("node")), "labels")
-    links, tried, before = None, None, math.inf
-    while True:
-        now = members.join(labels, "node")
-        spread = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        open_rows = materialize(now.join(spread, "bucket"), "open")
-        # pairs of a bucket in different components: (size^2 - sum of squares) / 2
-        per = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, total = per.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-        if not left:
-            break
-        last = left <= many * total or left > 0.8 * before
-        before = left
-        if last:
-            pairs = (pairs_within(open_rows, ["bucket"], "node", ["label", "n"])
-                     .where((F.col("label_i") != F.col("label_j")) & fits(F.col("n_i"), F.col("n_j"))).select(F.col("i").alias("a"), F.col("j").alias("b")).distinct())
-        else:
-            # a centre is a node that has not been one in this bucket
-            usable = open_rows if tried is None else open_rows.join(tried, ["bucket", "node"], "left_anti")
-            centre = materialize(usable.groupBy("bucket").agg(F.max(F.struct("popular", "node", "label", "n")).alias("m"))
-                                 .select("bucket", F.col("m.node").alias("centre"), F.col("m.label").alias("its"), F.col("m.n").alias("size")), "centres")
-            pairs = (open_rows.join(centre, "bucket").where((F.col("label") != F.col("its")) & fits(F.col("n"), F.col("size")))
-                     .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-            used = centre.select("bucket", F.col("centre").alias("node"))
-            tried = used if tried is None else materialize(tried.unionByName(used), "tried")
-        found = materialize(_confirm(pairs, sets, percent), "confirmed")
-        links = found if links is None else materialize(links.unionByName(found), "found")
-        labels = materialize(wanted.join(component_labels(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        if last:
-            break
+    centres = members.groupBy("bucket").agg(F.max(F.struct("popular", "node", "n")).alias("m")).select("bucket", F.col("m.node").alias("centre"), F.col("m.n").alias("size"))
+    fits = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+    pairs = (members.join(centres, "bucket").where((F.col("node") != F.col("centre")) & fits)
+             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    links = materialize(_confirm(pairs, sets, percent), "links")
+    labels = materialize(wanted.join(component_labels(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    now = members.join(labels, "node")
+    apart = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    left = materialize(now.join(apart, "bucket").groupBy("node", "label", "n").agg(F.collect_list("bucket").alias("buckets")), "left")
+    more = materialize(_confirm(_bucket_mates(left, sets, percent), sets, percent), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = wanted.join(component_labels(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     return _per_document(rows_of, nodes, labels)
 
 
+def _bucket_mates(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and can still meet the threshold.
+
+    Sets of n and m shingles that meet it share at least  need = percent * (n + m) / (100 + percent).  With all shingles in
+    one order, rarest first, the first shared one then stands among the first n - need + 1 of one set and the first
+    m - need + 1 of the other.  What tells copies of one text apart, their own changes, is rare and stands first, so a
+    bucket of thousands of copies that are too far from each other gives few pairs; none that meets the threshold is lost.
+    """
+    tokens = sets.join(left.select("node", "label", "n"), "node").select("node", "label", "n", F.explode("shingles").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("f"), (F.min("label") != F.max("label")).alias("across")).where("f > 1")
+    ordered = (tokens.join(common, "token").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token", "across"))).alias("t"))
+               .select("node", "label", "n", F.size("t").alias("known"), F.posexplode("t").alias("at", "t")))
+    # shingles of one set only stand before the others
+    placed = ordered.select("node", "label", "n", (F.col("n") - F.col("known") + F.col("at") + 1).alias("place"), F.col("t.token").alias("token"), F.col("t.across").alias("across"))
+    first = materialize(placed.where((F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1) & F.col("across")).drop("across"), "prefixes")
+    need = F.ceil(F.lit(percent) * (F.col("n_i") + F.col("n_j")) / F.lit(100 + percent))
+    met = pairs_within(first, ["token"], "node", ["label", "n", "place"]).where(
+        (F.col("label_i") != F.col("label_j")) & (F.col("place_i") <= F.col("n_i") - need + 1) & (F.col("place_j") <= F.col("n_j") - need + 1))
+    pairs = met.select(F.col("i").alias("a"), F.col("j").alias("b")).distinct()
+    own = lambda c: left.select(F.col("node").alias(c), F.col("buckets").alias(f"in_{c}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(F.arrays_overlap("in_a", "in_b")).select("a", "b")
+
+
 def _per_document(rows_of: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
