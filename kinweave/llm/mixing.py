@@ -47,11 +47,11 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     earlier = F.coalesce(F.sum("_limit").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     later = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
     budget = F.sum("source_size").over(Window.partitionBy()) * F.lit(share)
-    leveled = limited.withColumn("_level", (budget - earlier) / later)
+    leveled = limited.withColumn("_level", (budget - earlier) / later).withColumn("_place", F.row_number().over(fill))
     # the level of the first source that stays under its limit holds for it and all after it
-    free = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("_limit"), F.struct(F.col("_limit") / F.col("weight"), F.col("_level").alias("v")))).over(Window.partitionBy())
+    free = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("_limit"), F.struct("_place", F.col("_level").alias("v")))).over(Window.partitionBy())
     level = free["v"]
-    return leveled.withColumn("target", F.when(level.isNull(), F.col("_limit")).otherwise(F.least(F.col("_limit"), level * F.col("weight")))).drop("_limit", "_level")
+    return leveled.withColumn("target", F.when(level.isNull(), F.col("_limit")).otherwise(F.least(F.col("_limit"), level * F.col("weight")))).drop("_limit", "_level", "_place")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None,

@@ -37,7 +37,7 @@ s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ([5.0::double, 2.0, 1.0])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight, source_size * 2.0::double as cap from s),
 l as (select *, ((sum(source_size) over ())::double * 1.5::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
          / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from w),
-f as (select *, (select level from l where level * weight <= cap order by cap / weight, level limit 1) as lv from l),
+f as (select *, (select level from l where level * weight <= cap order by cap / weight, source nulls last limit 1) as lv from l),
 t as (select source, source_size, case when lv is null then cap else least(cap, lv * weight) end as target from f),
 e as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
 k as (
