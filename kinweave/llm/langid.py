@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from kinweave.llm.words import sub_batches
+
 #: Rows per language that a model is made of (those of least hash), and characters that each row gives.  Many short
 #: excerpts keep a repeated passage or a text in two languages from standing for its language.
 SAMPLE_ROWS = 96
@@ -76,16 +78,19 @@ class Parser:
         tables, self.roots, offset = [], [], 0
         for text in references:
             automaton = suffix_automaton(text)
-            table = np.full((len(automaton), width), -1, np.int64)
+            # one state more: the last byte occurs nowhere in the reference and is a phrase of its own
+            alone = len(automaton)
+            table = np.full((alone + 1, width), -1, np.int64)
             for s, ways in enumerate(automaton):
                 if ways:
                     table[s, self.symbol[list(ways)]] = list(ways.values())
-            first = np.where(table[0] >= 0, table[0], 0)
+            first = np.where(table[0] >= 0, table[0], alone)
             ended = table < 0
             table = np.where(ended, first[None, :], table)
+            ended[0] = False  # the start is no phrase's end
             tables.append(((table + offset) * width * 2 + ended).astype(np.int32))
             self.roots.append(offset * width)
-            offset += len(automaton)
+            offset += alone + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         assert self.table.size < 1 << 30
         self.roots = np.array(self.roots, np.int32)
@@ -141,7 +146,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     def run(batches):
         m, parser = sent.value, None
         weight = np.log2(np.array([max(2, len(r)) for r in m.references], float))
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, len(rest), 1 << 25)):
             parser = parser or Parser(m.references)
             texts = batch.column(len(rest)).cast(pa.large_string())
             edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]

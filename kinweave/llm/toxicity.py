@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from kinweave.llm.words import WordHasher, chain, not_letters, slabs
+from kinweave.llm.words import WordHasher, chain, not_letters, slabs, sub_batches
 
 #: Labelled rows that a fit reads at most; the rows of least hash are taken.
 SAMPLE_ROWS = 20_000
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def extract(batches):
         hasher = WordHasher(not_letters(), fold=False)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, 2)):
             order = np.concatenate([np.empty(0, np.int64), *(np.unique(((row + first) << bits) | bucket) for first, part in slabs(batch.column(2))
                                                              for row, bucket in [features(hasher, part, bits)])])
             edges = np.searchsorted(order, np.arange(batch.num_rows + 1, dtype=np.int64) << bits)
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         m, hasher = sent.value, WordHasher(not_letters(), fold=False)
         table = np.zeros(1 << m.bits, np.float32)
         table[m.buckets] = m.weights
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, len(rest))):
             total = np.full(batch.num_rows, m.bias)
             for first, part in slabs(batch.column(len(rest))):
                 row, bucket = features(hasher, part, m.bits)

@@ -75,10 +75,10 @@ class WordHasher:
 
 def slabs(texts: pa.Array, limit: int = 1 << 20):
     """Consecutive row ranges (first, texts) of about ``limit`` bytes, so that the passes stay within the cache."""
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if not len(texts):
         return
-    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    wide = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    edges = np.frombuffer(texts.buffers()[1], wide)[texts.offset:texts.offset + len(texts) + 1]
     first = 0
     while first < len(texts):
         past = max(first + 1, int(np.searchsorted(edges, edges[first] + limit, "right")) - 1)
@@ -86,6 +86,12 @@ def slabs(texts: pa.Array, limit: int = 1 << 20):
         first = past
 
 
+def sub_batches(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+    """Consecutive parts of a batch with about ``limit`` bytes of text each; what a task makes at a time stays small."""
+    for first, part in slabs(batch.column(column), limit):
+        yield batch.slice(first, len(part))
+
+
 def white_space() -> np.ndarray:
     """Bytes that ``[\\x20\\x09-\\x0D]`` matches."""
     gap = np.zeros(256, bool)
