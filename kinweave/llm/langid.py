@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from kinweave.llm.words import sub_batches
+from kinweave.llm.words import bounded, sub_batches
 
 #: Rows per language that a model is made of (those of least hash), and characters that each row gives.  Many short
 #: excerpts keep a repeated passage or a text in two languages from standing for its language.
@@ -174,4 +174,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     # a text without a letter goes as an empty one
     lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(F.col(text_col))).otherwise(F.lit(""))
-    return docs.select(*[F.col(f"`{c}`") for c in rest], lettered.alias("_lettered")).mapInArrow(run, schema)
+    return bounded(docs).select(*[F.col(f"`{c}`") for c in rest], lettered.alias("_lettered")).mapInArrow(run, schema)

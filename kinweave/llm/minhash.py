@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from kinweave.llm.components import component_labels
-from kinweave.llm.words import WordHasher, chain, mix64, slabs, sub_batches, white_space
+from kinweave.llm.words import WordHasher, bounded, chain, mix64, slabs, sub_batches, white_space
 from kinweave.operators.skew import pairs_within
 from kinweave.sources.staging import broadcast_if_small, materialize
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), flat],
                                              names=["doc_id", "text_key", "n_shingles", "node", "bands"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                             pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_keys(s) for s in sets], pa.binary()), flat], names=["node", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from kinweave.llm.words import WordHasher, chain, not_letters, slabs, sub_batches
+from kinweave.llm.words import WordHasher, bounded, chain, not_letters, slabs, sub_batches
 
 #: Labelled rows that a fit reads at most; the rows of least hash are taken.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 16_000
 BITS = 22
 THRESHOLD = 0.7
 
@@ -44,8 +44,11 @@ def features(hasher: WordHasher, texts: pa.Array, bits: int) -> tuple[np.ndarray
     return np.concatenate(rows), (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def ftrl(examples, bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[float, np.ndarray]:
-    """FTRL-proximal over a stream of (label, distinct buckets); the bias is a coordinate without a penalty."""
+def ftrl(examples, bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """FTRL-proximal over a stream of (label, distinct buckets); the bias is a coordinate without a penalty.
+
+    Returns the bias, the buckets whose weight is not zero, and their weights.
+    """
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
 
@@ -60,10 +63,8 @@ def ftrl(examples, bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float =
         sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
         z[i] += g - sigma * w
         n[i] += g * g
-    touched = np.flatnonzero(n)
-    every = np.zeros(bias + 1)
-    every[touched] = weights(touched)
-    return float(every[-1]), every[:-1]
+    kept = np.flatnonzero(np.abs(z[:-1]) > l1)
+    return float(weights(np.array([bias]))[0]), kept, weights(kept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -77,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     sample = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
               .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(rows))
-    picked = (docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    picked = (bounded(docs).select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text")).join(F.broadcast(sample), "_id")
               .groupBy("_id", "_label").agg(F.min("_text").alias("_text")))
     made = StructType([StructField("order", DoubleType()), StructField("label", IntegerType()), StructField("buckets", ArrayType(IntegerType()))])
 
@@ -99,11 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             orders, marks, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             edges, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            held += [(orders[k], float(marks[k]), values[edges[k]:edges[k + 1]].copy()) for k in range(batch.num_rows)]
-        held.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
-        bias, w = ftrl(((y, b) for _ in range(epochs) for _, y, b in held), bits) if held else (0.0, np.zeros(1))
-        kept = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[kept]], pa.list_(pa.float64())), pa.array([bias])], names=["buckets", "weights", "bias"])
+            held += [(orders[k], float(marks[k]), values[edges[k]:edges[k + 1]]) for k in range(batch.num_rows)]
+        held.sort(key=lambda x: x[:2])
+        bias, kept, w = ftrl(((y, b) for _ in range(epochs) for _, y, b in held), bits) if held else (0.0, np.empty(0, np.int64), np.empty(0))
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int32)], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float64())), pa.array([bias])], names=["buckets", "weights", "bias"])
+        pa.default_memory_pool().release_unused()
 
     found = ready.repartition(1).mapInArrow(train, result).collect()
     if not found:
@@ -135,4 +137,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             s = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*rest, "score", "predicted"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.lower(F.col(text_col)).alias("_lowered")).mapInArrow(run, schema)
+    return bounded(docs).select(*[F.col(f"`{c}`") for c in rest], F.lower(F.col(text_col)).alias("_lowered")).mapInArrow(run, schema)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+BATCH_ROWS = 1000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -86,6 +88,14 @@ def slabs(texts: pa.Array, limit: int = 1 << 20):
         first = past
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """Have Spark send texts in batches of ``BATCH_ROWS`` rows, unless the session has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name) == "10000":
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def sub_batches(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
     """Consecutive parts of a batch with about ``limit`` bytes of text each; what a task makes at a time stays small."""
     for first, part in slabs(batch.column(column), limit):
