@@ -27,10 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from kinweave.llm.words import bounded, sub_batches
+
 AHEAD = 3
 LEAF = 1 << 14
-#: Distinct matches and halves that a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Distinct matches, halves and windows that a task remembers; each memory has two generations of this size.
+REMEMBERED = 1 << 16
+#: Bytes up to which a half or window is worth remembering.
+SHORT = 16
 NEVER = 1 << 62
 
 
@@ -40,20 +44,37 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.value.split() for line in lines)}
 
 
+class Memory(dict):
+    """What was used of late: when the young generation is full, it becomes the old one and the old one is dropped."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Merges:
     """Encoding of single matches."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.windows: dict[bytes, tuple[int, ...]] = {}
-        self.halves: dict[bytes, tuple[int, ...]] = {}
+        self.windows, self.halves = Memory(self._merge), Memory(self._halve)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge neighbours of least rank, the leftmost first, until none is left; for short windows."""
-        known = self.windows.get(piece)
-        if known is not None:
-            return known
+        return self.windows[piece] if len(piece) <= SHORT else self._merge(piece)
+
+    def _merge(self, piece: bytes) -> tuple[int, ...]:
         rank_of = self.ranks.get
         parts = [piece[i:i + 1] for i in range(len(piece))]
         ranks = [rank_of(piece[i:i + 2], NEVER) for i in range(len(piece) - 1)]
@@ -68,10 +89,7 @@ class Merges:
                 ranks[i] = rank_of(parts[i] + parts[i + 1], NEVER)
             if i:
                 ranks[i - 1] = rank_of(parts[i - 1] + parts[i], NEVER)
-        if len(self.windows) > REMEMBERED:
-            self.windows.clear()
-        made = self.windows[piece] = tuple([self.ranks[p] for p in parts])
-        return made
+        return tuple([self.ranks[p] for p in parts])
 
     def settled(self, a: int, b: int) -> bool:
         return self.merge(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
@@ -95,15 +113,11 @@ class Merges:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        known = self.halves.get(piece)
-        if known is None:
-            middle = len(piece) // 2
-            known = self.join(self.encode(piece[:middle]), self.encode(piece[middle:]))
-            if len(piece) <= 16:
-                if len(self.halves) > REMEMBERED:
-                    self.halves.clear()
-                self.halves[piece] = known
-        return known
+        return self.halves[piece] if len(piece) <= SHORT else self._halve(piece)
+
+    def _halve(self, piece: bytes) -> tuple[int, ...]:
+        middle = len(piece) // 2
+        return self.join(self.encode(piece[:middle]), self.encode(piece[middle:]))
 
 
 class Matches:
@@ -134,41 +148,40 @@ class Matches:
         return left + right[n:]
 
 
-class Coder(dict):
-    """Packed ids of the matches met so far; a worker process keeps its copy from task to task."""
+class Coder:
+    """Vocabulary and memory of matches; a worker process keeps its copy from task to task."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.merges = Merges(ranks)
+        self.packed = Memory(lambda match: np.array(self.merges.encode(match.encode()), "<u4").tobytes())
 
     def __reduce__(self):
         return Coder, (self.merges.ranks,)
 
-    def __missing__(self, match: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        packed = self[match] = np.array(self.merges.encode(match.encode()), "<u4").tobytes()
-        return packed
-
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "token_ids", leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "token_ids", leaf: int = LEAF,
+           decoded: str | None = None) -> DataFrame:
     """Replace ``text_col`` by its ids, packed as little-endian unsigned 32-bit numbers.
 
     Whole texts, without special tokens.  Null and empty texts have no ids.  Rows stay where they are: there is no
     shuffle, a task holds one Arrow batch and its memory of matches.  The vocabulary is sent to the tasks; its size does
     not depend on the data.  Other columns pass through; one that is called ``out`` is replaced.
+
+    ``decoded`` names a column for the bytes that the ids decode to, made in the same pass as ``decode`` makes them.
     """
-    rest = [c for c in docs.columns if c not in (text_col, out)]
-    schema = StructType([*[docs.schema[c] for c in rest], StructField(out, BinaryType())])
+    made = [out] if decoded is None else [out, decoded]
+    rest = [c for c in docs.columns if c not in (text_col, *made)]
+    schema = StructType([*[docs.schema[c] for c in rest], *[StructField(c, BinaryType()) for c in made]])
     sent = docs.sparkSession.sparkContext.broadcast(Coder(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches, known = Matches(pattern, leaf), sent.value
-        for batch in batches:
+        matches, known = Matches(pattern, leaf), sent.value.packed
+        for batch in (part for whole in batches for part in sub_batches(whole, len(rest))):
             packed = [b"".join(map(known.__getitem__, matches.split(t.as_py() or ""))) for t in batch.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(packed, pa.binary())], names=[*rest, out])
+            columns = [packed] if decoded is None else [packed, [text_of(ids, sent.value.merges.bytes_of) for ids in packed]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], *[pa.array(c, pa.binary()) for c in columns]], names=[*rest, *made])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col)).mapInArrow(run, schema)
+    return bounded(docs).select(*[F.col(f"`{c}`") for c in rest], F.col(text_col)).mapInArrow(run, schema)
 
 
 def concatenated(tokens: list[bytes], leaf: int = LEAF) -> bytes:
@@ -179,6 +192,11 @@ def concatenated(tokens: list[bytes], leaf: int = LEAF) -> bytes:
     return concatenated(tokens[:middle], leaf) + concatenated(tokens[middle:], leaf)
 
 
+def text_of(packed: bytes, bytes_of: dict[int, bytes]) -> bytes:
+    """Bytes that packed ids stand for."""
+    return concatenated([bytes_of[i] for i in np.frombuffer(packed, "<u4").tolist()])
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; an id outside the vocabulary is an error, null ids decode to nothing."""
     rest = [c for c in encoded.columns if c != out]
@@ -187,8 +205,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = {i: b for b, i in sent.value.items()}
-        for batch in batches:
-            texts = [concatenated([bytes_of[i] for i in np.frombuffer(v.as_py() or b"", "<u4").tolist()]) for v in batch.column(at)]
+        for batch in (part for whole in batches for part in sub_batches(whole, at)):
+            texts = [text_of(v.as_py() or b"", bytes_of) for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*rest, out])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    return bounded(encoded).select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)

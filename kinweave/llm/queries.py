@@ -167,7 +167,7 @@ select c.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, c.vec_id =
 def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Ids and their decoded bytes, with digests."""
     ranks = bpe.read_ranks(docs.sparkSession, vocabulary)
-    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return (both.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("bigint")).withColumn("ids_sha256", F.sha2("token_ids", 256))
             .withColumn("decoded_sha256", F.sha2("decoded", 256)))
 
