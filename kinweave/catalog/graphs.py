@@ -63,8 +63,8 @@ def _(spark, d):
 
 
 def adjacency_sql(edges: str, source: str, target: str) -> str:
-    return f"""masses as (select {source} as node, {target} as neighbor, max(cast(round(weight * 1000000000) as bigint)) as mass
-    from {edges} group by 1, 2 having max(cast(round(weight * 1000000000) as bigint)) > 0),
+    return f"""masses as (select node, neighbor, cast(greatest(round(weight / max(weight) over (partition by node) * 1000000000), 1) as bigint) as mass
+    from (select {source} as node, {target} as neighbor, max(weight) as weight from {edges} where weight > 0 group by 1, 2)),
     adj as materialized (select node, neighbor, mass, cast(coalesce(sum(mass) over (partition by node order by {hash_order_sql('adj', 'neighbor')}, neighbor
     rows between unbounded preceding and 1 preceding), 0) as bigint) as before, count(*) over (partition by node) as degree,
     cast(sum(mass) over (partition by node) as bigint) as total from masses)"""
@@ -164,13 +164,13 @@ def _(spark, d):
 
 # --- nearest neighbours by vector ----------------------------------------------------------
 
-@query("cosine_nearest", oracle("""with e as (select vec_id, label, list_transform(embedding[1:32], lambda x: x::double) as v from embeddings),
+@query("cosine_nearest", oracle("""with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
     n as (select vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as s from e),
     p as (select q.vec_id as query, r.vec_id as ref, round(list_dot_product(q.v, r.v) / (q.s * r.s), 9) as sim
     from n q join n r on (q.label < 2) and (r.label >= 2))
     select query, ref, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by sim desc, ref) as rank from p)
     where rank <= 2"""))
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "label", F.slice("embedding", 1, 32).alias("emb"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "label", F.col("embedding").alias("emb"))
     out = neighbors.cosine_nearest(e.where("label < 2"), e.where("label >= 2"), k=2, query_rows=64, ref_rows=128)
     return out.select("query", "ref", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))

@@ -20,21 +20,26 @@ from kinweave.plans.params import WorkflowParams
 from kinweave.sources.staging import materialize
 
 K = 4
+DIM = 64  # numbers of a vector of the test tables
 
-TRI_SQL = """t as (select a.vec_id, list_transform(a.embedding[1:4], lambda x: x::double * 10) as la,
-    list_transform(b.embedding[1:4], lambda x: x::double * 10) as lh, list_transform(c.embedding[1:4], lambda x: x::double * 10) as lr,
+PARTS = 16  # a vector of 64 numbers gives 16 rows of K logits; their vec_id is vec_id * PARTS + part
+
+TRI_SQL = f"""em as (select vec_id, label, part, list_transform(embedding[{K} * part + 1:{K} * part + {K}], lambda x: x::double * 10) as l
+    from embeddings, range({PARTS}) p(part)),
+    t as (select a.vec_id * {PARTS} + a.part as vec_id, a.l as la, b.l as lh, c.l as lr,
     a.label % 4 as lo1, least(3, a.label % 4 + a.vec_id % 3) as up1, b.label % 4 as lo2, least(3, b.label % 4 + b.vec_id % 3) as up2,
     c.label % 4 as lo3, least(3, c.label % 4 + c.vec_id % 3) as up3
-    from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings c on c.vec_id = a.vec_id + 2)"""
+    from em a join em b on b.vec_id = a.vec_id + 1 and b.part = a.part join em c on c.vec_id = a.vec_id + 2 and c.part = a.part)"""
 
 
 def logit_triangles(spark, d):
-    e = table(spark, d, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, K), lambda x: x.cast("double") * 10).alias("l"),
+    parts = table(spark, d, "embeddings").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    e = parts.select(
+        "vec_id", "part", F.transform(F.slice("embedding", F.col("part") * K + 1, F.lit(K)), lambda x: x.cast("double") * 10).alias("l"),
         (F.col("label") % 4).alias("lo"), F.least(F.lit(3), F.col("label") % 4 + F.col("vec_id") % 3).alias("up"))
 
     def side(n, name, shift):
-        return e.select((F.col("vec_id") - shift).alias("vec_id"), F.col("l").alias(name),
+        return e.select(((F.col("vec_id") - shift) * PARTS + F.col("part")).alias("vec_id"), F.col("l").alias(name),
                         F.col("lo").alias(f"lo{n}"), F.col("up").alias(f"up{n}"))
 
     return side(1, "la", 0).join(side(2, "lh", 1), "vec_id").join(side(3, "lr", 2), "vec_id")
@@ -210,23 +215,23 @@ def _(spark, d):
 
 @query("triangle_features", oracle(f"""with {WEIGHT_SQL}, sd as (select id, 1 as side, q as a, r1 as b, lo1 as lower, up1 as upper from tri
     union all select id, 2, q, r2, lo2, up2 from tri union all select id, 3, r1, r2, lo3, up3 from tri),
-    em as (select concat('C', vec_id, '.1') as node, list_transform(embedding[1:8], lambda x: x::double) as e from embeddings),
-    z as (select list_transform(range(8), lambda x: 0.0::double) as z),
+    em as (select concat('C', vec_id, '.1') as node, list_transform(embedding, lambda x: x::double) as e from embeddings),
+    z as (select list_transform(range({DIM}), lambda x: 0.0::double) as z),
     fs as (select id, side, lower, upper, x.e is not null and y.e is not null as known, coalesce(x.e, z) as xa, coalesce(y.e, z) as xb,
       coalesce(ani, 0.0) as ani, coalesce(hyp, 0.0) as hyp from sd cross join z left join em x on x.node = a left join em y on y.node = b
       left join und on u = least(a, b) and v = greatest(a, b))
     select id, side, cast(lower as int) as lower, cast(upper as int) as upper, known, round(list_sum(list_transform(list_zip(xa, xb), lambda p: p[1] + 2 * p[2])), 5) as ends,
-    round(list_sum(list_transform(list_zip(xa, xb), lambda p: abs(p[1] - p[2]))), 5) as gap, round(ani, 8) as ani, round(hyp, 8) as hyp, cast(26 as int) as width from fs""",
+    round(list_sum(list_transform(list_zip(xa, xb), lambda p: abs(p[1] - p[2]))), 5) as gap, round(ani, 8) as ani, round(hyp, 8) as hyp, cast({3 * DIM + 2} as int) as width from fs""",
     "v_edges", "v_taxa"))
 def _(spark, d):
     emb = table(spark, d, "embeddings").select(F.concat(F.lit("C"), "vec_id", F.lit(".1")).alias("node"),
-                                               F.slice("embedding", 1, 8).alias("emb"))
-    rows = T.triangle_features(edge_triangles(spark, d), emb, *two_graphs(spark, d), 8)
+                                               F.col("embedding").alias("emb"))
+    rows = T.triangle_features(edge_triangles(spark, d), emb, *two_graphs(spark, d), DIM)
     f = F.col("features")
-    ends = O.total(F.zip_with(F.slice(f, 1, 8), F.slice(f, 9, 8), lambda x, y: x + 2 * y))
+    ends = O.total(F.zip_with(F.slice(f, 1, DIM), F.slice(f, DIM + 1, DIM), lambda x, y: x + 2 * y))
     return rows.select("id", "side", "lower", "upper", "known", F.round(ends, 5).alias("ends"),
-                       F.round(O.total(F.transform(F.slice(f, 17, 8), F.abs)), 5).alias("gap"),
-                       F.round(f[24], 8).alias("ani"), F.round(f[25], 8).alias("hyp"), F.size(f).alias("width"))
+                       F.round(O.total(F.transform(F.slice(f, 2 * DIM + 1, DIM), F.abs)), 5).alias("gap"),
+                       F.round(f[3 * DIM], 8).alias("ani"), F.round(f[3 * DIM + 1], 8).alias("hyp"), F.size(f).alias("width"))
 
 
 @query("seeded_split", oracle(f"""with n as (select node, row_number() over (order by {hash_order_sql('split', 'node')}, node) - 1 as o,
@@ -256,8 +261,8 @@ def _(spark, d):
 
 def side_rows(spark, d):
     emb = table(spark, d, "embeddings").select(F.concat(F.lit("C"), "vec_id", F.lit(".1")).alias("node"),
-                                               F.slice("embedding", 1, 8).alias("emb"))
-    return materialize(T.triangle_features(edge_triangles(spark, d), emb, *two_graphs(spark, d), 8), "rows")
+                                               F.col("embedding").alias("emb"))
+    return materialize(T.triangle_features(edge_triangles(spark, d), emb, *two_graphs(spark, d), DIM), "rows")
 
 
 @query("triangle_refine")

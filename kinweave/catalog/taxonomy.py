@@ -114,13 +114,16 @@ def _(spark, d):
 @query("concat_by_group", oracle("""with s as (select v_seq.*, split_part(id, '.', 1) as base from v_seq),
     m as (select row_no as n, concat('D', row_no) as base, case when row_no % 10 = 9 then null else
     concat('A', cast(floor(row_no / 3) as bigint)) end as asm from v_seq),
-    p as (select m.n, id, seq, asm, coalesce('A|' || asm, 'R|' || base) as grp from m join s using (base))
-    select min_by(id, n) as id, max(asm) as assembly, count(*) as n_parts, string_agg(seq, '' order by n) as seq from p group by grp""", "v_seq"))
+    p as (select m.n, id, seq, asm, coalesce('A|' || asm, 'R|' || base) as grp from m join s using (base)),
+    h as (select grp, min_by(id, n) as id, max(asm) as assembly, count(*) as n_parts from p group by grp),
+    b as (select *, coalesce(sum(length(seq)) over (partition by grp order by n rows between unbounded preceding and 1 preceding), 0) as before from p)
+    select h.id, assembly, n_parts, cast(floor(before / 500) as bigint) as piece, string_agg(seq, '' order by n) as seq
+    from b join h using (grp) group by grp, h.id, assembly, n_parts, cast(floor(before / 500) as bigint)""", "v_seq"))
 def _(spark, d):
     seqs = spark_view(spark, d, "v_seq")
     assembly = F.when(F.col("row_no") % 10 == 9, "NA").otherwise(F.concat(F.lit("A"), F.floor(F.col("row_no") / 3)))
     meta = seqs.select(F.concat(F.lit("D"), "row_no").alias("Accession"), "row_no", assembly.alias("Assembly"))
-    return T.concat_by_group(meta, seqs).select("id", "assembly", "n_parts", "seq")
+    return T.concat_by_group(meta, seqs, piece_chars=500).select("id", "assembly", "n_parts", "piece", "seq")
 
 
 @query("merge_datasets", oracle("""select Accession, Family, Genus, row_no from (select *, row_number() over (partition by Accession order by part, row_no) as rn from (

@@ -10,16 +10,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MODULUS = 2147483647
+LOW = 1 << 22
 
 
 def uniform_sql(id_sql: str, step_sql: str, seed: int) -> str:
-    """Uniform number in [0, 1) for a BIGINT id and step, as SQL text."""
+    """Uniform number in [0, 1) for a BIGINT id and step, as SQL text.
+
+    31 bits of one stream and 22 of another: as many values as a double has below 1.  Ids
+    repeat after MODULUS squared, 4.6e18.
+    """
+    first, second = _stream_sql(id_sql, step_sql, seed, 48271, 69621), _stream_sql(id_sql, step_sql, seed + 1, 69621, 39373)
+    return f"(({first} * {LOW} + {second} % {LOW}) / cast({MODULUS * LOW} as double))"
+
+
+def _stream_sql(id_sql: str, step_sql: str, seed: int, a: int, b: int) -> str:
+    """Number in [0, MODULUS); the part of the id above the modulus is mixed in, so ids do not repeat after it."""
     m = MODULUS
-    x1 = f"((({id_sql}) * 48271 + ({step_sql}) * 69621 + {seed * 16807}) % {m})"
-    x2 = f"(({x1} * {x1} + ({id_sql}) + 1) % {m})"
-    x3 = f"(({x2} * 48271 + ({step_sql})) % {m})"
+    low = f"(({id_sql}) % {m})"
+    high = f"cast(round(cast(({id_sql}) - {low} as double) / {m}) as bigint)"
+    x1 = f"(({low} * {a} + {high} * 16807 + ({step_sql}) * {b} + {seed * 16807}) % {m})"
+    x2 = f"(({x1} * {x1} + {low} + 1) % {m})"
+    x3 = f"(({x2} * {a} + {high} + ({step_sql})) % {m})"
     x4 = f"(({x3} * {x3} + {seed}) % {m})"
-    return f"((({x4} * 48271) % {m}) / cast({m} as double))"
+    return f"(({x4} * {a}) % {m})"
 
 
 def uniform(id_sql: str, step_sql: str, seed: int) -> Column:

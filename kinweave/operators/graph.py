@@ -10,7 +10,6 @@ from kinweave.functions.rng import hash_order
 from kinweave.operators.skew import running_total, with_ordinal
 
 WEIGHT_SCALE = 1_000_000_000
-MAX_CELLS = 1 << 20
 
 
 def strip_edge_versions(edges: DataFrame) -> DataFrame:
@@ -109,15 +108,19 @@ def adjacency(edges: DataFrame, node: str = "source", neighbor: str = "target")
     """Neighbour lists in long form: position, fixed-point weight and weight before it.
 
     Columns (node, neighbor, mass, before, degree, total).  Weights become
-    integers of 1e-9, so sums do not depend on the order of rows.  Hubs are
-    split by ``running_total``.
+    integers of 1e-9 of the node's heaviest edge, at least 1, so sums do not depend
+    on the order of rows, weights of any size keep their ratio, and every positive
+    weight can be drawn.  Hubs are split by ``running_total``.
     """
-    mass = F.round(F.col("weight") * WEIGHT_SCALE).cast("bigint")
-    rows = (edges.select(F.col(node).alias("node"), F.col(neighbor).alias("neighbor"), mass.alias("mass"))
-            .where("mass > 0").groupBy("node", "neighbor").agg(F.max("mass").alias("mass"))
-            .withColumn("_hash", hash_order("adj", "neighbor")))
-    placed = running_total(rows, ["node"], F.substring("_hash", 1, 2), ["_hash", "neighbor"],
-                           F.col("mass"), "before").drop("_hash")
+    best = (edges.select(F.col(node).alias("node"), F.col(neighbor).alias("neighbor"), F.col("weight").cast("double"))
+            .where("weight > 0 and not isnan(weight)").groupBy("node", "neighbor").agg(F.max("weight").alias("weight")))
+    heaviest = best.groupBy("node").agg(F.max("weight").alias("_heaviest"))
+    mass = F.greatest(F.round(F.col("weight") / F.col("_heaviest") * WEIGHT_SCALE), F.lit(1.0)).cast("bigint")
+    # dealt out by (node, slot): after a join by node alone a hub would be summed in one task
+    rows = (best.join(heaviest, "node").withColumn("_hash", hash_order("adj", "neighbor"))
+            .select("node", "neighbor", mass.alias("mass"), "_hash", F.substring("_hash", 1, 2).alias("_slot"))
+            .repartition("node", "_slot"))
+    placed = running_total(rows, ["node"], F.col("_slot"), ["_hash", "neighbor"], F.col("mass"), "before")
     totals = rows.groupBy("node").agg(F.count("*").alias("degree"), F.sum("mass").alias("total"))
     return placed.join(totals, "node").select("node", "neighbor", "mass", "before", "degree", "total")
 
@@ -133,7 +136,7 @@ def draw_table(adj: DataFrame) -> DataFrame:
 
 
 def cell_of(position):
-    return F.floor(position * (F.least(F.col("degree"), F.lit(MAX_CELLS)) / F.col("total"))).cast("bigint")
+    return F.floor(position * (F.col("degree") / F.col("total"))).cast("bigint")
 
 
 def weighted_draw(draws: DataFrame, adj: DataFrame) -> DataFrame:

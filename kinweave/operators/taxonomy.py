@@ -11,7 +11,7 @@ from kinweave.functions.columns import (
     known_assembly, known_enrich_value, known_reconcile_value, known_relation_rank, strip_version,
 )
 from kinweave.operators.hits import keep_first
-from kinweave.operators.skew import running_total
+from kinweave.operators.skew import first_by, running_total
 
 LOOKUP_KEYS = ("Species", "Genus", "Family")
 PIECE_CHARS = 1 << 26
@@ -170,6 +170,13 @@ def merge_datasets(seqs1: DataFrame, meta1: DataFrame, seqs2: DataFrame, meta2:
     return seqs.drop("base"), kept.select("Accession", *[F.col(f"r.{c}").alias(c) for c in shared if c != "Accession"])
 
 
+def first_by_accession(meta: DataFrame, id_col: str = "Accession", columns: Sequence[str] | None = None) -> DataFrame:
+    """One metadata row per accession: the first by ``row_no``, or the least where rows are not numbered."""
+    order = [F.col("row_no")] if "row_no" in meta.columns else []
+    wanted = meta if columns is None else meta.select(id_col, *[c for c in meta.columns if c in (*columns, "row_no") and c != id_col])
+    return first_by(wanted, [id_col], order)
+
+
 # --- relationship bounds -------------------------------------------------------------------
 
 def bound_columns(ranks: Sequence[str], left: str = "l_", right: str = "r_") -> tuple[Column, Column]:
@@ -195,9 +202,9 @@ def relationship_bounds(pairs: DataFrame, meta: DataFrame, ranks: Sequence[str],
 
     All pairs of n nodes would be n * n / 2 rows; nothing downstream needs them, so
     the lineages are joined to the pairs in question (edges, triangle sides, draws)
-    and the work grows with these.
+    and the work grows with these.  Of rows that share an accession the first counts.
     """
-    known = meta.select(id_col, *[known_relation_rank(r).alias(r) for r in ranks])
+    known = first_by_accession(meta, id_col, ranks).select(id_col, *[known_relation_rank(r).alias(r) for r in ranks])
 
     def side(end: str, prefix: str) -> DataFrame:
         return known.select(F.col(id_col).alias(end), *[F.col(r).alias(prefix + r) for r in ranks])
@@ -214,9 +221,11 @@ def reconcile_taxonomy(calls: DataFrame, meta: DataFrame, profile: dict[str, int
     """Ranks of a query from its primary reference down to the effective rank.
 
     ``calls`` has (primary, secondary, effective_rank).  An unknown value of the
-    primary stays blank; only the NR level falls back to the secondary.
+    primary stays blank; only the NR level falls back to the secondary.  Of rows that
+    share an accession the first counts, so each call gives one row.
     """
     levels = sorted(profile, key=profile.get)
+    meta = first_by_accession(meta, "Accession", levels)
 
     def side(key: str, prefix: str) -> DataFrame:
         values = [(known_reconcile_value(lvl) if lvl in meta.columns else F.lit(None).cast("string"))

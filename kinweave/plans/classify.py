@@ -16,8 +16,8 @@ from kinweave.operators.model import (
 from kinweave.operators.neighbors import classification_report, fuse_embeddings, select_two_neighbors
 from kinweave.operators.sharing import hypergeom_edges
 from kinweave.operators.skew import with_ordinal
-from kinweave.operators.taxonomy import rank_profile, relationship_bounds
-from kinweave.operators.triangles import sample_triangles, seeded_split, triangle_features
+from kinweave.operators.taxonomy import first_by_accession, rank_profile, relationship_bounds, validate_unique_ids
+from kinweave.operators.triangles import enough_nodes, sample_triangles, seeded_split, triangle_features
 from kinweave.operators.walks import node_embeddings
 from kinweave.plans.params import WorkflowParams
 from kinweave.sources.staging import materialize
@@ -61,6 +61,8 @@ def training_pairs(nodes: DataFrame, graphs: list[DataFrame], seed: int) -> Data
 
 
 def _rows(nodes, bounds, n, k_classes, seed, emb, ani, hyp, dim, label):
+    if label != "train" and not enough_nodes(nodes):
+        return None  # too few nodes are held out to form a triangle
     tri = sample_triangles(nodes, bounds, n, k_classes, seed)
     return materialize(triangle_features(tri, emb, ani, hyp, dim), label)
 
@@ -75,15 +77,19 @@ def classify_queries(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, queri
     """Predict the lineage of query genomes from their nearest references.
 
     ``pa`` and ``ani_edges`` cover references and queries together, ``queries`` has the
-    full accession in ``query``.  Ends in the classification report.
+    full accession in ``query``.  Ends in the classification report.  A query accession
+    that occurs twice is an error.
     """
+    repeated = validate_unique_ids(queries.select(strip_version("query").alias("id")))
+    if not repeated.isEmpty():
+        raise ValueError(f"accessions of queries must be unique, e.g. {repeated.first()['id']} is not")
     profile = rank_profile(params.levels)
     ranks = [r for r in sorted(profile, key=profile.get) if r != "NR"]
     k_classes, dim = max(profile.values()) + 1, 2 * params.dim
     ani, hyp = prepared_graphs(pa, ani_edges, params)
     emb = fused_embeddings(ani, hyp, params)
     asked = queries.select(strip_version("query").alias("node")).distinct()
-    known = meta.withColumn("Accession", strip_version("Accession"))
+    known = first_by_accession(meta.withColumn("Accession", strip_version("Accession")))
     db_nodes = materialize(known.select(F.col("Accession").alias("node")).distinct().join(
         emb.select("node"), "node", "left_semi").join(asked, "node", "left_anti"), "references")
     known = known.join(db_nodes.withColumnRenamed("node", "Accession"), "Accession", "left_semi")
@@ -95,7 +101,7 @@ def classify_queries(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, queri
     for offset, (name, n) in enumerate((("train", params.triangles_train), ("val", params.triangles_eval))):
         nodes = split.where((F.col("split") == "train") == (name == "train")).select("node")
         parts[name] = _rows(nodes, bounds, n, k_classes, params.seed + offset, emb, ani, hyp, dim, name)
-    val = None if parts["val"].isEmpty() else parts["val"]
+    val = None if parts["val"] is None or parts["val"].isEmpty() else parts["val"]
     model = _fit(parts["train"], val, k_classes, params)
 
     selected = materialize(select_two_neighbors(asked.join(emb, "node", "left_semi"), hyp, ani, db_nodes, emb,
@@ -120,7 +126,7 @@ def evaluate_database(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, para
     k_classes, dim = max(profile.values()) + 1, 2 * params.dim
     ani, hyp = prepared_graphs(pa, ani_edges, params)
     emb = fused_embeddings(ani, hyp, params)
-    known = meta.withColumn("Accession", strip_version("Accession"))
+    known = first_by_accession(meta.withColumn("Accession", strip_version("Accession")))
     split = materialize(seeded_split(emb.select("node"), 0.8, 0.1), "split")
     pairs = training_pairs(split.select("node"), [ani, hyp], params.seed)
     bounds = materialize(relationship_bounds(pairs, known, ranks), "bounds")
@@ -132,6 +138,8 @@ def evaluate_database(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, para
     model = _fit(parts["train"], parts["val"], k_classes, params)
     out = None
     for name, rows in parts.items():
+        if rows is None:
+            continue
         scored = materialize(model.transform(rows).where("side = 1").select(
             argmax(F.col("probs")).alias("pred"), "lower", "upper"), "scored")
         accuracy = interval_hit_point_accuracy(scored)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import ordinal as O
+from kinweave.functions.rng import uniform
 from kinweave.operators import model as ML
 from kinweave.operators import neighbors as N
 from kinweave.operators import sketch as K
@@ -213,3 +214,34 @@ def test_missing_vector_predicts_nothing(spark):
     first = ML.OrdinalModel(3, [1.0, 0.5])
     model = ML.TriangleModel(first, ML.OrdinalModel(3, [1.0, 1.0]), 0.12, 1)
     assert ML.predict_rank(model, rows).collect() == [(0, 0, 0.0, 0, 0.0)]
+
+
+def test_draws_do_not_repeat_beyond_the_modulus(spark):
+    ids = [5 + n * 2147483647 for n in range(200)] + [2 ** 61 + n for n in range(200)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint").select(uniform("id", "0", 7).alias("u")).collect()
+    values = [r.u for r in rows]
+    assert len(set(values)) == len(ids) and all(0 <= u < 1 for u in values) and 0.4 < sum(values) / len(values) < 0.6
+
+
+def test_light_and_heavy_weights_can_be_drawn(spark):
+    edges = spark.createDataFrame([("a", "b", 1e-12), ("a", "c", 3e-12), ("h", "x", 1e4), ("h", "y", 4e9), ("h", "z", 1e-12)],
+                                  "source string, target string, weight double")
+    mass = {(r.node, r.neighbor): (r.mass, r.total) for r in adjacency(edges).collect()}
+    assert mass["a", "b"] == (333333333, 1333333333) and mass["a", "c"][0] == 1000000000
+    assert mass["h", "x"][0] == 2500 and mass["h", "z"][0] == 1
+
+
+def test_two_nodes_form_no_triangle(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "node string")
+    bounds = spark.createDataFrame([("a", "b", 1, 1)], "source string, target string, lower int, upper int")
+    with pytest.raises(ValueError):
+        R.sample_triangles(nodes, bounds, 2, 3)
+
+
+def test_first_row_of_an_accession_counts(spark):
+    meta = spark.createDataFrame([("x", "F2", "G2", 2), ("x", "F1", "G1", 1), ("y", "F1", "G3", 3)], "Accession string, Family string, Genus string, row_no int")
+    calls = spark.createDataFrame([("x", "y", 2)], "primary string, secondary string, effective_rank int")
+    rows = T.reconcile_taxonomy(calls, meta, {"NR": 0, "Family": 1, "Genus": 2}).collect()
+    assert [(r.Family, r.Genus) for r in rows] == [("F1", "G1")]
+    pairs = spark.createDataFrame([("x", "y")], "source string, target string")
+    assert [(r.lower, r.upper) for r in T.relationship_bounds(pairs, meta, ["Family", "Genus"]).collect()] == [(1, 1)]
