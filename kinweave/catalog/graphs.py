@@ -45,9 +45,9 @@ def _(spark, d):
 @query("topk_neighbors", oracle(f"""with {UND_SQL}, b as (select source as node, target as neighbor, weight from und
     union all select target, source, weight from und)
     select node, neighbor, weight, rank from (select *, row_number() over (partition by node order by weight desc, neighbor) as rank
-    from b) where rank <= 10""", "v_edges"))
+    from b) where rank <= 50""", "v_edges"))
 def _(spark, d):
-    out = G.topk_neighbors(spark_view(spark, d, "v_edges"), 10)
+    out = G.topk_neighbors(spark_view(spark, d, "v_edges"))
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -10,7 +10,7 @@ from kinweave.functions.columns import strip_version
 from kinweave.operators import hits as H
 from kinweave.operators import sharing as S
 from kinweave.operators import sketch as K
-from kinweave.plans.graphs import build_graphs, hallmark_network
+from kinweave.plans.graphs import build_graphs, hallmark_network, sketch_graph
 from kinweave.plans.params import WorkflowParams
 
 ALL = "pident, alnlen, mismatch, numgapopen, qstart, qend, tstart, tend, evalue, bitscore, qlen, tlen"
@@ -57,11 +57,9 @@ def _(spark, d):
     round(greatest(sum(alnlen)::double / min(least(qlen, tlen)), 0.05), 6) as coverage from kept group by query, target""", "v_hits"))
 def _(spark, d):
     hits = spark_view(spark, d, "v_hits")
-    identity = H.ani_nonoverlap(hits, min_ani=0.2, identity_scale=100.0)
-    coverage = H.ani_nonoverlap(hits, len_weight=True, min_ani=0.05, identity_scale=100.0)
-    return identity.withColumnRenamed("weight", "identity").join(
-        coverage.withColumnRenamed("weight", "coverage"), ["source", "target"]).select(
-            "source", "target", F.round("identity", 6).alias("identity"), F.round("coverage", 6).alias("coverage"))
+    floors = {"identity": 0.2, "coverage": 0.05}
+    return H.nonoverlap_weights(hits, identity_scale=100.0).withColumns(
+        {c: F.round(F.greatest(c, F.lit(low)), 6) for c, low in floors.items()})
 
 
 @query("ani_weight", oracle("""select split_part(concat(query, ' genome'), ' ', 1) as source, target,
@@ -156,20 +154,16 @@ def _(spark, d):
     return S.merge_presence_absence(spark_view(spark, d, "v_items"), S.presence_absence(hits))
 
 
-def cover_sql(source: str, rounds: int = 8) -> str:
-    """CTEs p0, p1, ... of the greedy cover, three picks per round."""
-    out, left = [], source
-    for n in range(rounds):
-        out.append(f"""p{n} as materialized (select target, count(*) as freq, row_number() over (order by count(*) desc, target) - 1 as position
-        from {left} group by target order by freq desc, target limit 3),
-        r{n} as materialized (select * from {left} where query not in (select query from {left} where target in (select target from p{n}))
-        and target not in (select target from p{n}))""")
-        left = f"r{n}"
-    picks = " union all ".join(f"select {n} as round, cast(position as int) as position, target, freq from p{n}" for n in range(rounds))
-    return ", ".join(out) + f", picks as ({picks})"
+def cover_sql(source: str) -> str:
+    """CTEs of the greedy cover, three picks per round until nothing is left; they need WITH RECURSIVE."""
+    top = "select target from cover group by target order by count(*) desc, target limit 3"
+    return f"""cover(round, query, target) as (select 0, query, target from {source} union all select round + 1, query, target from cover
+    where target not in ({top}) and query not in (select query from cover where target in ({top}))),
+    picks as (select round, cast(position as int) as position, target, freq from (select round, target, count(*) as freq,
+    row_number() over (partition by round order by count(*) desc, target) - 1 as position from cover group by round, target) where position < 3)"""
 
 
-@query("hallmark_items", oracle(f"with {cover_sql('v_items')} select round, position, target, freq from picks", "v_items"))
+@query("hallmark_items", oracle(f"with recursive {cover_sql('v_items')} select round, position, target, freq from picks", "v_items"))
 def _(spark, d):
     return S.hallmark_items(spark_view(spark, d, "v_items"))
 
@@ -188,19 +182,28 @@ def _(spark, d):
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("sketch_ani", oracle(f"""with q as (select distinct id, md5(kmer) as hash from ({kmer_sql('v_bench', 11)}) where left(md5(kmer), 1) = '0'),
-    r as (select distinct id, md5(kmer) as hash from ({kmer_sql('v_seq', 11)}) where left(md5(kmer), 1) = '0'),
+@query("sketch_ani", oracle(f"""with q as (select distinct id, kmer as hash from ({kmer_sql('v_bench', 11)})),
+    r as (select distinct id, kmer as hash from ({kmer_sql('v_seq', 11)})),
     nq as (select id, count(*) as n from q group by id), nr as (select id, count(*) as n from r group by id),
     s as (select q.id as qi, r.id as ri, count(*) as c from q join r using (hash) group by 1, 2),
     x as (select qi, ri, c, nq.n as a, nr.n as b, c / (nq.n + nr.n - c) as j from s join nq on nq.id = qi join nr on nr.id = ri)
     select qi as "Query_name", ri as "Ref_name", round(greatest(100 * (1 + ln(2 * j / (1 + j)) / 11), 0), 6) as "ANI",
     round(100.0 * c / a, 6) as "Align_fraction_query", round(100.0 * c / b, 6) as "Align_fraction_ref" from x""", "v_bench", "v_seq"))
 def _(spark, d):
-    out = K.sketch_ani(K.scaled_sketch(spark_view(spark, d, "v_bench")), K.scaled_sketch(spark_view(spark, d, "v_seq")))
+    out = K.sketch_ani(K.kmer_sets(spark_view(spark, d, "v_bench")), K.kmer_sets(spark_view(spark, d, "v_seq")))
     return out.select("Query_name", "Ref_name", *[F.round(c, 6).alias(c) for c in (
         "ANI", "Align_fraction_query", "Align_fraction_ref")])
 
 
+@query("sketch_graph", oracle(f"""with q as (select distinct id, kmer from ({kmer_sql('v_seq', 11)})),
+    n as (select id, count(*) as n from q group by id),
+    s as (select a.id as source, b.id as target, count(*) as c from q a join q b on a.kmer = b.kmer and a.id < b.id group by 1, 2),
+    x as (select source, target, c, a.n as a, b.n as b, c / (a.n + b.n - c) as j from s join n a on a.id = source join n b on b.id = target)
+    select split_part(source, '.', 1) as source, split_part(target, '.', 1) as target, round(greatest(100 * (1 + ln(2 * j / (1 + j)) / 11), 0) * 100.0 * c / least(a, b) / 10000, 9) as weight from x""", "v_seq"))
+def _(spark, d):
+    return sketch_graph(spark_view(spark, d, "v_seq"), WorkflowParams()).withColumn("weight", F.round("weight", 9))
+
+
 @query("seed_hits", oracle(f"""with rp as ({kmer_sql('v_bench', 11)}),
     common as (select kmer from rp group by kmer having count(distinct id) > ceil(0.8 * (select count(*) from v_bench))),
     ref as (select id as target, kmer, count(*) as places from rp where kmer not in (select kmer from common) group by 1, 2),
@@ -219,7 +222,8 @@ def _(spark, d):
 
 # --- workflows -----------------------------------------------------------------------------
 
-@query("build_graphs", oracle(f"""with recursive {GREEDY_SQL}, v_best as (select distinct split_part(query, '.', 1) as query, target from v_hits
+@query("build_graphs", oracle(f"""with recursive bare as materialized (select * replace (split_part(query, '.', 1) as query, split_part(target, '.', 1) as target) from v_hits),
+    {GREEDY_SQL.replace('from v_hits', 'from bare')}, v_best as (select distinct split_part(query, '.', 1) as query, target from v_hits
     where evalue <= 1e-5 and bitscore >= 50), pa as (select v.* from v_best v join (select target from v_best group by target
     having count(*) <= ceil(0.8 * (select count(distinct query) from v_best))) using (target)), {tested_sql('pa', 'pa')}
     select 'gene' as graph, i as source, j as target, round(-log_p / ln(10), 5) as weight from tail
@@ -231,15 +235,15 @@ def _(spark, d):
         "weight", F.when(F.col("graph") == "gene", F.round("weight", 5)).otherwise(F.round("weight", 9)))
 
 
-@query("hallmark_network", oracle(f"""with best as (select query, target, qstart, qend from (select *, row_number() over (partition by query, target
+@query("hallmark_network", oracle(f"""with recursive best as materialized (select query, target, qstart, qend from (select *, row_number() over (partition by query, target
     order by -bitscore, qstart, qend, bitscore) as rn from v_gene_hits where bitscore >= 50) where rn = 1),
     pa as materialized (select target as query, query as target from best where query in (select query from best group by query having count(*) >= 2)),
     {tested_sql('pa', 'pa')}, shared as materialized (select i, j, -ln(exp(log_p) + 1e-15) as weight from tail where log_p <= ln(0.05)),
-    {cover_sql('pa', 40)},
-    sl as (select best.query as gene, best.target as id, substring(seq, qstart, qend - qstart + 1) as s
-    from best join v_seq on v_seq.id = best.target where best.query in (select target from picks)),
-    dists as (select i, j, 1.0 - (select sum((substring(l.s, p, 1) = substring(r.s, p, 1))::int) from range(1, length(l.s) + 1) t(p)) / length(l.s) as dist
-    from shared join sl l on l.id = i join sl r on r.id = j and r.gene = l.gene where length(l.s) = length(r.s) and length(l.s) > 0),
+    {cover_sql('pa')},
+    sl as materialized (select gene, id, string_split(s, '') as s from (select best.query as gene, best.target as id, substring(seq, qstart, qend - qstart + 1) as s
+    from best join v_seq on v_seq.id = best.target where best.query in (select target from picks)) where length(s) > 0),
+    dists as (select i, j, 1.0 - list_sum([(x[1] = x[2])::int for x in list_zip(l.s, r.s)]) / len(l.s) as dist
+    from shared join sl l on l.id = i join sl r on r.id = j and r.gene = l.gene where len(l.s) = len(r.s)),
     mean as (select i, j, avg(dist) as dist from dists group by i, j)
     select i as source, j as target, round(weight, 5) as weight, round(coalesce(dist, 1.0), 6) as dist,
     round(coalesce(least(greatest(1 - dist, 0), 1), 0.0), 6) as dist_weight from shared left join mean using (i, j)""", "v_gene_hits", "v_seq"))

@@ -13,7 +13,6 @@ from kinweave.operators import metrics as M
 from kinweave.operators import neighbors as N
 from kinweave.operators import taxonomy as T
 from kinweave.plans.references import score_predictions
-from kinweave.sources.writers import order_results
 
 PROFILE = {"NR": 0, "Family": 1, "Subfamily": 2, "Genus": 3}
 
@@ -157,13 +156,15 @@ REPORT_SQL = f"""{UND_SQL}, {RECON_SQL}, nodes as (select source as node from un
 
 
 def report(spark, d):
-    """Result table for fixed predictions; every query's vector exists if it has an edge."""
+    """Result table for fixed predictions; a query has a vector if it has a strong edge, every eleventh has no references."""
     graph = G.undirected_max(spark_view(spark, d, "v_edges"))
     graph = graph.withColumns({c: F.regexp_replace(c, r"\.1$", "") for c in ("source", "target")})
     meta = spark_view(spark, d, "v_taxa").withColumn("Accession", F.split_part("Accession", F.lit("."), F.lit(1)))
     fixed = calls(spark, d).withColumns({c: F.split_part(c, F.lit("."), F.lit(1)) for c in ("r_h", "r_a")}).withColumn(
         "node", F.split_part("query", F.lit("."), F.lit(1)))
-    selected = fixed.select("node", "r_h", "r_a", F.lit("hyp_adj").alias("sel_h"), F.lit("ani_adj").alias("sel_a"))
+    found = F.substring("node", 2, 18).cast("bigint") % 11 != 0
+    selected = fixed.select("node", *[F.when(found, F.col(c)).alias(c) for c in ("r_h", "r_a")],
+                            F.when(found, "hyp_adj").otherwise("unknown").alias("sel_h"), F.when(found, "ani_adj").otherwise("unknown").alias("sel_a"))
     strong = graph.where("weight > 0.9")
     return N.classification_report(
         fixed.select("query"), selected, fixed.select("node", "rank_h", "prob_h", "rank_a", "prob_a"), meta, PROFILE,
@@ -173,12 +174,16 @@ def report(spark, d):
 _STRIP = ("closest_node_1_r_hyp", "closest_node_2_r_ani", "chosen_node_for_final_rank")
 
 
-def report_sql(columns: str) -> str:
+def report_sql(columns: str, more: str = "") -> str:
+    nulls = ", ".join(["null"] * columns.count(","))
     strip = ", ".join(f"split_part({c}, '.', 1) as {c}" for c in _STRIP)
     return f"""with {REPORT_SQL}, strong as (select source as node from und where weight > 0.9 union select target from und where weight > 0.9),
-    good as (select * replace ({strip}) from rep where query in (select node from strong))
-    select {columns}, null as error from good union all select query, {', '.join(['null'] * (columns.count(',')))},
-    'No query embedding in combined set' from calls where query not in (select node from strong)"""
+    lost as (select query, cast(substring(split_part(query, '.', 1), 2) as bigint) % 11 = 0 as lost from calls),
+    good as (select * replace ({strip}) from rep where query in (select node from strong) and query in (select query from lost where not lost))
+    select {columns}, null as error, null as rh_f, null as ra_f, null as sel_h, null as sel_a{more} from good
+    union all select query, {nulls}, 'No query embedding in combined set', null, null, null, null{more} from calls where query not in (select node from strong)
+    union all select query, {nulls}, 'Insufficient valid neighbors for final prediction', 'None', 'None', 'unknown', 'unknown'{more} from lost
+    where lost and query in (select node from strong)"""
 
 
 _REPORT_COLUMNS = ", ".join([
@@ -190,38 +195,53 @@ _REPORT_COLUMNS = ", ".join([
 
 @query("classification_report", oracle(report_sql(_REPORT_COLUMNS), "v_edges", "v_taxa"))
 def _(spark, d):
-    return report(spark, d).drop("rh_f", "ra_f", "sel_h", "sel_a")
+    return report(spark, d)
 
 
-@query("write_results", oracle(report_sql(_REPORT_COLUMNS), "v_edges", "v_taxa"))
+_HEADER = _REPORT_COLUMNS.replace(" ", "") + ",error,rh_f,ra_f,sel_h,sel_a"
+
+
+@query("write_results", oracle(report_sql(_REPORT_COLUMNS, f", '{_HEADER}' as header"), "v_edges", "v_taxa"))
 def _(spark, d):
     from kinweave.sources import staging, writers
     path = staging.scratch_path(spark, "results")
     out = report(spark, d)
     writers.write_results(out, path, PROFILE)
-    schema = order_results(out, PROFILE).schema
-    back = spark.read.schema(schema).option("header", True).csv(path).drop("rh_f", "ra_f", "sel_h", "sel_a")
+    back = spark.read.option("header", True).csv(path)
     ranks = {r: F.when(F.col("error").isNull(), F.coalesce(r, F.lit(""))) for r in LINEAGE}
-    return back.withColumns(ranks)
+    typed = back.withColumns(ranks).select(*[F.col(f.name).cast(f.dataType) for f in out.schema])
+    return typed.withColumn("header", F.lit(",".join(back.columns)))
 
 
 @query("select_two_neighbors", oracle("""with und as (select least(source, target) as source, greatest(source, target) as target, max(weight) as weight
     from v_edges where source <> target group by 1, 2),
     b as (select source as node, target as nb, weight as h, 1 - weight as a from und union all select target, source, weight, 1 - weight from und),
-    qs as (select Accession as node from v_taxa where Family = 'Unknown'), al as (select Accession as node from v_taxa where Family <> 'Unknown'),
+    qs as (select Accession as node from v_taxa where Family = 'Unknown'), al as (select Accession as node from v_taxa where row_no % 20 = 0 and Family <> 'Unknown'),
     hr as (select *, row_number() over (partition by node order by h desc, nb) as rk from b where node in (select node from qs)),
     ar as (select *, row_number() over (partition by node order by a desc, nb) as rk from b where node in (select node from qs)),
-    h1 as (select node, min_by(nb, rk) as r_h from hr where rk <= 5 and nb in (select node from al) group by node),
-    a1 as (select ar.node, min_by(nb, rk) as r_a from ar left join h1 using (node) where rk <= 5 and nb in (select node from al)
-    and (r_h is null or nb <> r_h) group by ar.node)
-    select qs.node, coalesce(r_h, r_a) as r_h, coalesce(r_a, r_h) as r_a,
-    case when r_h is not null then 'hyp_adj' when r_a is not null then 'reuse_a_as_h(ani_adj)' else 'unknown' end as sel_h,
-    case when r_a is not null then 'ani_adj' when r_h is not null then 'reuse_h_as_a(hyp_adj)' else 'unknown' end as sel_a
-    from qs left join h1 using (node) left join a1 using (node)""", "v_edges", "v_taxa"))
+    h1 as (select node, min_by(nb, rk) as h_adj from hr where rk <= 50 and nb in (select node from al) group by node),
+    a1 as (select ar.node, min_by(nb, rk) as a_adj from ar left join h1 using (node) where rk <= 50 and nb in (select node from al)
+    and (h_adj is null or nb <> h_adj) group by ar.node),
+    em as (select concat('C', vec_id, '.1') as node, list_transform(embedding, lambda x: x::double) as v from embeddings),
+    half as (select node, v[33:64] as h, v[1:32] as a from em),
+    qe as (select half.* from half join qs using (node)), re as (select half.* from half join al using (node)),
+    hc as (select q.node, r.node as nb, row_number() over (partition by q.node order by round(list_dot_product(q.h, r.h) /
+      (sqrt(list_dot_product(q.h, q.h)) * sqrt(list_dot_product(r.h, r.h))), 9) desc, r.node) as rk from qe q, re r where q.node not in (select node from h1)),
+    ac as (select q.node, r.node as nb, row_number() over (partition by q.node order by round(list_dot_product(q.a, r.a) /
+      (sqrt(list_dot_product(q.a, q.a)) * sqrt(list_dot_product(r.a, r.a))), 9) desc, r.node) as rk from qe q, re r where q.node not in (select node from a1)),
+    base as (select qs.node, h_adj, a_adj, coalesce(h_adj, hc.nb) as rh,
+      case when h_adj is not null then 'hyp_adj' when hc.nb is not null then 'cosine_h' else 'unknown' end as th
+      from qs left join h1 using (node) left join a1 using (node) left join hc on hc.node = qs.node and hc.rk = 1),
+    a2 as (select ac.node, min_by(nb, rk) as a_cos from ac join base using (node) where rk <= 2 and (rh is null or nb <> rh) group by ac.node),
+    f as (select base.*, coalesce(a_adj, a_cos) as ra, case when a_adj is not null then 'ani_adj' when a_cos is not null then 'cosine_a' else 'unknown' end as ta
+      from base left join a2 using (node))
+    select node, coalesce(rh, ra) as r_h, coalesce(ra, rh) as r_a, case when rh is null and ra is not null then concat('reuse_a_as_h(', ta, ')') else th end as sel_h,
+    case when ra is null and rh is not null then concat('reuse_h_as_a(', th, ')') else ta end as sel_a from f""", "v_edges", "v_taxa"))
 def _(spark, d):
     hyp = G.undirected_max(spark_view(spark, d, "v_edges"))
     ani = hyp.withColumn("weight", 1 - F.col("weight"))
-    taxa = spark_view(spark, d, "v_taxa").select(F.col("Accession").alias("node"), "Family")
-    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("X"), "vec_id").alias("node"), F.col("embedding").alias("emb"))
+    taxa = spark_view(spark, d, "v_taxa").select(F.col("Accession").alias("node"), "Family", "row_no")
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("C"), "vec_id", F.lit(".1")).alias("node"), F.col("embedding").alias("emb"))
+    # few references, so that some queries have none among their neighbours and the vectors decide
     return N.select_two_neighbors(taxa.where("Family = 'Unknown'").select("node"), hyp, ani,
-                                  taxa.where("Family <> 'Unknown'").select("node"), vectors, 32, k=5)
+                                  taxa.where("row_no % 20 = 0 and Family <> 'Unknown'").select("node"), vectors, 32)

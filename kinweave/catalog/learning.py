@@ -9,14 +9,15 @@ from kinweave.catalog.graphs import SYM_SQL
 from kinweave.catalog.taxonomy import LINEAGE, PAIR_SQL, bounds_sql
 from kinweave.catalog.views import oracle, spark_view, table
 from kinweave.functions import ordinal as O
-from kinweave.functions.columns import pair_high, pair_low
+from kinweave.functions.columns import pair_high, pair_low, strip_version
 from kinweave.functions.rng import hash_order_sql, uniform_sql
 from kinweave.operators import graph as G
 from kinweave.operators import model as ML
 from kinweave.operators import triangles as T
 from kinweave.operators.taxonomy import relationship_bounds
-from kinweave.plans.classify import classify_queries, evaluate_database
+from kinweave.plans.classify import classify_new, evaluate_database
 from kinweave.plans.params import WorkflowParams
+from kinweave.sources import staging
 from kinweave.sources.staging import materialize
 
 K = 4
@@ -251,6 +252,25 @@ def label_rows(spark, d):
         F.least(F.lit(K - 1), F.col("label") % K + F.col("vec_id") % 2).cast("int").alias("upper"))
 
 
+@query("threshold_counts", oracle(f"""with r as (select label % {K} as lower, least({K - 1}, label % {K} + vec_id % 2) as upper from embeddings)
+    select cast(k as int) as k, (lower >= k)::int as label, count(*) as n from r, range(1, {K}) t(k) where lower >= k or upper < k group by 1, 2"""))
+def _(spark, d):
+    return ML.threshold_counts(label_rows(spark, d), K)
+
+
+_M = [f"least({', '.join(['1.0'] + [_s('la', j) for j in range(2, k + 1)])})" for k in range(1, K + 1)]
+_FIXED = ", ".join(f"{_M[k]} - {_M[k + 1] if k < K - 1 else '0.0'}" for k in range(K))
+
+
+@query("monotone_probs", oracle(f"""with {TRI_SQL}, b as (select vec_id, [{_FIXED}] as p from t)
+    select vec_id, generate_subscripts(p, 1) - 1 as cls, round(unnest(p), 6) as prob from b"""))
+def _(spark, d):
+    rows = logit_triangles(spark, d)
+    at_least = F.concat(F.array(F.lit(1.0)), F.slice(O.at_least_probs(F.col("la")), 2, K))
+    each = rows.withColumn("s", ML.running_min(at_least)).select("vec_id", F.posexplode(O.steps(F.col("s"))).alias("cls", "prob"))
+    return each.select("vec_id", F.col("cls").cast("bigint").alias("cls"), F.round("prob", 6).alias("prob"))
+
+
 @query("ordinal_interval_fit")
 def _(spark, d):
     rows = label_rows(spark, d)
@@ -301,7 +321,14 @@ def _workflow_inputs(spark, d):
 def _(spark, d):
     pa, edges, taxa = _workflow_inputs(spark, d)
     asked = taxa.where("Family = 'Unknown'").select(F.col("Accession").alias("query"))
-    return classify_queries(pa, edges, taxa, asked, SMALL)
+    own = [asked.select(F.col("query").alias(end)) for end in ("source", "target")]
+    bare = asked.select(strip_version("query").alias("query"))
+    among = edges.join(own[0], "source", "left_semi").join(own[1], "target", "left_semi")
+    known = edges.join(own[0], "source", "left_anti").join(own[1], "target", "left_anti")
+    between = (edges.join(own[0], "source", "left_semi").join(own[1], "target", "left_anti")
+               .unionByName(edges.join(own[0], "source", "left_anti").join(own[1], "target", "left_semi")))
+    return classify_new(pa.join(bare, "query", "left_anti"), pa.join(bare, "query", "left_semi"), [known, among, between],
+                        taxa, asked, staging.scratch_path(spark, "results"), SMALL)
 
 
 @query("evaluate_database")

@@ -90,12 +90,15 @@ def _(spark, d):
     return readers.read_weighted_edges(spark, path, sep=",")
 
 
-@query("merge_record_folder", oracle("select min_by(seq, row_no) as seq from v_seq group by grp", "v_seq"))
+@query("merge_record_folder", oracle("select min_by(seq, row_no) as seq, true as is_stem from v_seq group by grp", "v_seq"))
 def _(spark, d):
     path = staging.scratch_path(spark, "folder")
     records = spark_view(spark, d, "v_seq").repartition("grp").sortWithinPartitions("grp", "row_no")
     writers.write_fasta(records, path, by="grp")
-    return readers.merge_record_folder(spark, path, recursive=True).select("seq")
+    # file names are Spark's own, and one task uses the same one in several folders: the id must be the stem of one of them
+    stems = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("id"))
+    merged = readers.merge_record_folder(spark, path, recursive=True)
+    return merged.join(stems.distinct().withColumn("is_stem", F.lit(True)), "id", "left").select("seq", F.coalesce("is_stem", F.lit(False)).alias("is_stem"))
 
 
 _LETTERS = [(-0.1, "A"), (0.0, "C"), (0.1, "G")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.catalog import query
 from kinweave.catalog.views import oracle, spark_view, table
+from kinweave.functions.columns import strip_version
 from kinweave.operators import hits as H
 from kinweave.operators import metrics as M
 from kinweave.operators import taxonomy as T
@@ -100,15 +101,15 @@ def _(spark, d):
 
 
 HEAD_SQL = """picked as (select Accession, Assembly, Class, Genus, row_no from (select *, row_number() over (partition by Class order by row_no) as rn
-    from classed where Class is not null) where rn <= 20
+    from classed where Class is not null) where rn <= 50
     union all select Accession, Assembly, Class, Genus, row_no from (select * from (select *, row_number() over (partition by Genus order by row_no) as rn
-    from classed where Class is null and Genus is not null) where rn = 1 order by row_no limit 20))"""
+    from classed where Class is null and Genus is not null) where rn = 1 order by row_no limit 50))"""
 
 
 @query("head_n_per_group", oracle(f"with {CLASS_SQL}, {HEAD_SQL} select Accession, Class, Genus from picked", "v_meta", "v_taxonomy"))
 def _(spark, d):
     classed = T.class_by_any_rank(spark_view(spark, d, "v_meta"), spark_view(spark, d, "v_taxonomy"), unknown=None)
-    return T.head_n_per_group(classed, n=20).select("Accession", "Class", "Genus")
+    return T.head_n_per_group(classed).select("Accession", "Class", "Genus")
 
 
 @query("concat_by_group", oracle("""with s as (select v_seq.*, split_part(id, '.', 1) as base from v_seq),
@@ -126,19 +127,23 @@ def _(spark, d):
     return T.concat_by_group(meta, seqs, piece_chars=500).select("id", "assembly", "n_parts", "piece", "seq")
 
 
-@query("merge_datasets", oracle("""select Accession, Family, Genus, row_no from (select *, row_number() over (partition by Accession order by part, row_no) as rn from (
+@query("merge_datasets", oracle("""with m as (select Accession, Family, Genus, row_no from (select *, row_number() over (partition by Accession order by part, row_no) as rn from (
     select split_part(Accession, '.', 1) as Accession, Family, Genus, 1 as part, row_no from v_taxa union all
     select split_part(Accession, '.', 1), Family, Genus, 2, 0 from v_pred)
-    where Accession in (select concat('C', row_no) from v_seq union select concat('C', l_suppkey) from lineitem)) where rn = 1""",
+    where Accession in (select concat('C', row_no) from v_seq union select concat('C', l_suppkey) from lineitem)) where rn = 1),
+    s as (select base, id, seq from (select *, row_number() over (partition by base order by part, row_no) as rn from (
+    select concat('C', row_no) as base, concat('C', row_no, '.1') as id, seq, 1 as part, row_no from v_seq union all
+    select concat('C', l_suppkey), concat('C', l_suppkey, '.7'), l_returnflag, 2, l_orderkey * 10 + l_linenumber from lineitem)) where rn = 1)
+    select id, seq, Accession, Family, Genus, row_no from s left join m on Accession = base""",
     "v_taxa", "v_pred", "v_seq"))
 def _(spark, d):
     taxa = spark_view(spark, d, "v_taxa").withColumn("Accession", F.split_part("Accession", F.lit("."), F.lit(1)))
     pred = spark_view(spark, d, "v_pred").withColumn("Accession", F.split_part("Accession", F.lit("."), F.lit(1)))
     docs = spark_view(spark, d, "v_seq").select(F.concat(F.lit("C"), "row_no", F.lit(".1")).alias("id"), "seq", "row_no")
     items = table(spark, d, "lineitem").select(F.concat(F.lit("C"), "l_suppkey", F.lit(".7")).alias("id"),
-                                               F.col("l_returnflag").alias("seq"), F.col("l_orderkey").alias("row_no"))
-    _, meta = T.merge_datasets(docs, taxa, items, pred.withColumn("row_no", F.lit(0).cast("bigint")))
-    return meta.select("Accession", "Family", "Genus", "row_no")
+                                               F.col("l_returnflag").alias("seq"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"))
+    seqs, meta = T.merge_datasets(docs, taxa, items, pred.withColumn("row_no", F.lit(0).cast("bigint")))
+    return seqs.join(meta, strip_version("id") == F.col("Accession"), "left").select("id", "seq", "Accession", "Family", "Genus", "row_no")
 
 
 @query("value_counts", oracle("select Genus, count(*) as n from v_taxa group by Genus", "v_taxa"))

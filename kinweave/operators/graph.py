@@ -31,7 +31,8 @@ def edge_threshold(edges: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 def minmax_rescale(edges: DataFrame) -> DataFrame:
     """Weights to [0, 1]; a flat column becomes 1 above 0.5 and 0 below; NULL stays NULL."""
-    low, high = edges.agg(F.min("weight")).scalar(), edges.agg(F.max("weight")).scalar()
+    ends = edges.agg(F.struct(F.min("weight").alias("low"), F.max("weight").alias("high"))).scalar()
+    low, high = ends.getField("low"), ends.getField("high")
     w = F.col("weight")
     flat = F.when(high > 0.5, 1.0).otherwise(0.0)
     return edges.withColumn("weight", F.when(w.isNotNull(), F.when(
@@ -63,18 +64,19 @@ def symmetrize_with_loops(edges: DataFrame, empty: str = "empty") -> DataFrame:
     empty table into one loop of a placeholder node.
     """
     edges = edges.select("source", "target", to_weight("weight").alias("weight"))
-    und = undirected_max(edges)
-    n_pairs = drop_self_loops(edges).agg(F.count("*")).scalar()
-    top = edges.where("source <> target").agg(F.max("weight")).scalar()
-    top_loop = edges.agg(F.max("weight")).scalar()
-    weight = F.when(n_pairs > 0, F.coalesce(top, F.lit(0.0))).otherwise(F.coalesce(top_loop, F.lit(0.0)))
-    nodes = node_set(edges.where((F.col("source") != F.col("target")) | (n_pairs == 0)))
+    apart = F.col("source") != F.col("target")
+    facts = edges.agg(F.struct(
+        F.count(F.when(apart, 1)).alias("pairs"), F.max(F.when(apart, F.col("weight"))).alias("top"),
+        F.max("weight").alias("top_loop"), F.count("*").alias("rows"))).scalar()
+    n_pairs = facts.getField("pairs")
+    weight = F.coalesce(F.when(n_pairs > 0, facts.getField("top")).otherwise(facts.getField("top_loop")), F.lit(0.0))
+    nodes = node_set(edges.where(apart | (n_pairs == 0)))
     loops = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"), weight.alias("weight"))
-    out = und.union(und.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")).union(loops)
+    both = F.explode(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target"))))
+    out = undirected_max(edges).select(both.alias("e"), "weight").select("e.source", "e.target", "weight").union(loops)
     if empty == "dummy":
-        n_rows = edges.agg(F.count("*")).scalar()
         dummy = edges.sparkSession.createDataFrame([("_dummy", "_dummy", 1.0)], out.schema)
-        out = out.union(dummy.where(n_rows == 0))
+        out = out.union(dummy.where(facts.getField("rows") == 0))
     return out
 
 

@@ -30,10 +30,6 @@ def best_hit_by_bitscore(hits: DataFrame, bitscore_min: float = 50, keys: Sequen
     return first_by(hits.where(F.col("bitscore") >= bitscore_min), keys, [-F.col("bitscore")])
 
 
-def edge_list(hits: DataFrame) -> DataFrame:
-    return hits.select("query", "target", "qstart", "qend")
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: str = "row_no") -> DataFrame:
     """Drop later duplicates of the keys, by an explicit row number."""
     return first_by(df, keys, [F.col(order)])
@@ -92,18 +88,27 @@ def ani_simple(hits: DataFrame) -> DataFrame:
     return sums.select("query", "target", ani.alias("ANI"))
 
 
-def ani_nonoverlap(hits: DataFrame, alpha: float = 2.0, len_weight: bool = False, min_ani: float = 0.0,
-                   identity_scale: float = 1.0) -> DataFrame:
-    """Pair weight from non-overlapping hits: mean identity ** alpha, or coverage of the shorter one."""
+def nonoverlap_weights(hits: DataFrame, alpha: float = 2.0, identity_scale: float = 1.0) -> DataFrame:
+    """Both weights of non-overlapping hits from one scan: (source, target, identity, coverage).
+
+    ``identity`` is the mean identity ** alpha, ``coverage`` that of the shorter sequence.
+    """
     needed = ["query", "target", "pident", "alnlen", "qstart", "qend", "qlen", "tlen"]
     kept = greedy_overlap_filter(hits.select(*needed))
     sums = kept.groupBy("query", "target").agg(
         F.sum(F.col("pident") / identity_scale * F.col("alnlen")).alias("w"), F.sum("alnlen").alias("aln"),
         F.min(F.least("qlen", "tlen")).alias("shorter"))
-    value = (F.try_divide(F.col("aln"), F.col("shorter")) if len_weight
-             else F.pow(F.try_divide(F.col("w"), F.col("aln")), F.lit(float(alpha))))
     return sums.select(F.col("query").alias("source"), F.col("target"),
-                       F.greatest(value, F.lit(float(min_ani))).alias("weight"))
+                       F.pow(F.try_divide(F.col("w"), F.col("aln")), F.lit(float(alpha))).alias("identity"),
+                       F.try_divide(F.col("aln"), F.col("shorter")).alias("coverage"))
+
+
+def ani_nonoverlap(hits: DataFrame, alpha: float = 2.0, len_weight: bool = False, min_ani: float = 0.0,
+                   identity_scale: float = 1.0) -> DataFrame:
+    """Pair weight from non-overlapping hits: mean identity ** alpha, or coverage of the shorter one."""
+    weight = F.col("coverage" if len_weight else "identity")
+    return nonoverlap_weights(hits, alpha, identity_scale).select(
+        "source", "target", F.greatest(weight, F.lit(float(min_ani))).alias("weight"))
 
 
 def ani_weight(pairs: DataFrame, use_fractions: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.hypergeom import log_upper_tail
 from kinweave.operators.skew import pairs_within
-from kinweave.sources.staging import broadcast_if_small, materialize
+from kinweave.sources.staging import broadcast_if_small, materialize, remove_stage, scratch_path
 
 
 def presence_absence(hits: DataFrame, set_col: str = "query", item_col: str = "target") -> DataFrame:
@@ -126,21 +126,29 @@ def hallmark_items(pa: DataFrame, top_n: int = 3) -> DataFrame:
     """Greedy cover: the ``top_n`` most frequent items, then again over the sets they miss.
 
     Each round moves only ``top_n`` item names through the driver and goes on
-    from a written table, so lost executors cost one round.
+    from a written table, so lost executors cost one round.  Picks are appended to a
+    table of their own; the table a round went on from is removed after the next is written.
     """
     spark = pa.sparkSession
-    remaining, picks, round_no = pa, [], 0
+    schema = "round int, position int, target string, freq bigint"
+    picks, before = scratch_path(spark, "picks"), None
+    spark.createDataFrame([], schema).write.parquet(picks)
+    remaining, round_no = pa, 0
     while True:
         top = (item_frequency(remaining).orderBy(F.desc("freq"), "target").limit(top_n).collect())
         if not top:
             break
-        picks += [(round_no, n, row["target"], row["freq"]) for n, row in enumerate(top)]
+        chosen = [(round_no, n, row["target"], row["freq"]) for n, row in enumerate(top)]
+        spark.createDataFrame(chosen, schema).coalesce(1).write.mode("append").parquet(picks)
         names = [row["target"] for row in top]
         covered = remaining.where(F.col("target").isin(names)).select("query").distinct()
-        remaining = materialize(remaining.join(covered, "query", "left_anti")
-                                .where(~F.col("target").isin(names)), "cover")
+        after = scratch_path(spark, "cover")
+        remaining.join(covered, "query", "left_anti").where(~F.col("target").isin(names)).write.parquet(after)
+        if before is not None:
+            remove_stage(spark, before)
+        remaining, before = spark.read.schema(pa.schema).parquet(after), after
         round_no += 1
-    return spark.createDataFrame(picks, "round int, position int, target string, freq bigint")
+    return spark.read.schema(schema).parquet(picks)
 
 
 def edge_diagnostics(edges: DataFrame, n_sets: Column) -> DataFrame:

@@ -68,6 +68,24 @@ def pairs_within(df: DataFrame, group: Sequence[str], id_col: str, carry: Sequen
     return met.select(*group, *out)
 
 
+def matched(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = 2048) -> DataFrame:
+    """Equality join of two written tables on a key that may be hot on either side, or on both.
+
+    Keys without a partner go first.  The rows of a key are hashed into blocks of about
+    ``block`` rows on each side, and the join key is (key, left block, right block):
+    one task meets two blocks at most, however many rows a key has.
+    """
+    sizes = (left.groupBy(key).agg(F.count("*").alias("_n")).join(right.groupBy(key).agg(F.count("*").alias("_m")), key)
+             .select(key, F.ceil(F.col("_n") / block).cast("int").alias("_left"), F.ceil(F.col("_m") / block).cast("int").alias("_right")))
+
+    def dealt(rows: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        block_of = F.pmod(F.xxhash64(id_col), F.col(own)).cast("int")
+        return rows.join(sizes, key).select(*rows.columns, block_of.alias(f"{own}_b"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_b"))
+
+    met = dealt(left, left_id, "_left", "_right").join(dealt(right, right_id, "_right", "_left"), [key, "_left_b", "_right_b"])
+    return met.drop("_left_b", "_right_b")
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the least by ``order`` and then by all columns.
 

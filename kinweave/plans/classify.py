@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from kinweave.functions.columns import pair_high, pair_low, strip_version
 from kinweave.functions.ordinal import argmax
 from kinweave.functions.rng import uniform
-from kinweave.operators.graph import minmax_rescale, strip_edge_versions, symmetrize_with_loops
+from kinweave.operators.graph import minmax_rescale, strip_edge_versions, symmetrize_with_loops, union_edges
 from kinweave.operators.metrics import confusion_matrix, hierarchical_metrics, interval_hit_point_accuracy
 from kinweave.operators.model import (
     TriangleModel, choose_interval_fit, ordinal_interval_fit, predict_rank, triangle_refine,
 )
 from kinweave.operators.neighbors import classification_report, fuse_embeddings, select_two_neighbors
-from kinweave.operators.sharing import hypergeom_edges
+from kinweave.operators.sharing import hypergeom_edges, merge_presence_absence
 from kinweave.operators.skew import with_ordinal
 from kinweave.operators.taxonomy import first_by_accession, rank_profile, relationship_bounds, validate_unique_ids
 from kinweave.operators.triangles import enough_nodes, sample_triangles, seeded_split, triangle_features
 from kinweave.operators.walks import node_embeddings
 from kinweave.plans.params import WorkflowParams
 from kinweave.sources.staging import materialize
-
-RANDOM_PARTNERS = 4
+from kinweave.sources.writers import write_results
 
 
 def prepared_graphs(pa: DataFrame, ani_edges: DataFrame, params: WorkflowParams) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +41,7 @@ def fused_embeddings(ani: DataFrame, hyp: DataFrame, params: WorkflowParams) ->
     return materialize(fuse_embeddings(embed(ani), embed(hyp), params.dim), "embeddings")
 
 
-def training_pairs(nodes: DataFrame, graphs: list[DataFrame], seed: int) -> DataFrame:
+def training_pairs(nodes: DataFrame, graphs: list[DataFrame], seed: int, partners_per_node: int = 4) -> DataFrame:
     """Node pairs to learn from: the graphs' edges and a few random partners per node.
 
     Edges supply related pairs, random partners the unrelated ones; both grow
@@ -50,7 +49,7 @@ def training_pairs(nodes: DataFrame, graphs: list[DataFrame], seed: int) -> Data
     """
     numbered = with_ordinal(nodes.select("node"), ["node"], salt="partner", digits=3)
     n = nodes.agg(F.count("*")).scalar()
-    draws = (numbered.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(RANDOM_PARTNERS - 1))))
+    draws = (numbered.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(partners_per_node - 1))))
              .withColumn("other", F.floor(uniform("ordinal", "t", seed) * n).cast("bigint")))
     partners = draws.join(numbered.select(F.col("node").alias("mate"), F.col("ordinal").alias("other")), "other")
     pairs = partners.select(F.col("node").alias("source"), F.col("mate").alias("target"))
@@ -93,7 +92,7 @@ def classify_queries(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, queri
     db_nodes = materialize(known.select(F.col("Accession").alias("node")).distinct().join(
         emb.select("node"), "node", "left_semi").join(asked, "node", "left_anti"), "references")
     known = known.join(db_nodes.withColumnRenamed("node", "Accession"), "Accession", "left_semi")
-    pairs = training_pairs(db_nodes, [ani, hyp], params.seed)
+    pairs = training_pairs(db_nodes, [ani, hyp], params.seed, params.random_partners)
     bounds = materialize(relationship_bounds(pairs, known, ranks), "bounds")
 
     split = seeded_split(db_nodes, 0.9, 0.1, min_nodes=20, keep_val=True)
@@ -115,6 +114,19 @@ def classify_queries(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, queri
     return classification_report(queries, selected, predictions, known, profile, ani, hyp, emb)
 
 
+def classify_new(reference_pa: DataFrame, query_pa: DataFrame, edge_parts: list[DataFrame], meta: DataFrame,
+                 queries: DataFrame, path: str, params: WorkflowParams) -> DataFrame:
+    """From the tables of references and of new genomes to the written result table, which is returned as read back.
+
+    ``edge_parts`` are the identity edges among references, among queries and between
+    both.  Accessions lose their version before the presence tables are merged.
+    """
+    bare = [pa.withColumn("query", strip_version("query")) for pa in (reference_pa, query_pa)]
+    report = classify_queries(merge_presence_absence(*bare), union_edges(*edge_parts), meta, queries, params)
+    write_results(report, path, rank_profile(params.levels))
+    return meta.sparkSession.read.option("header", True).csv(path)
+
+
 def evaluate_database(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, params: WorkflowParams) -> DataFrame:
     """Train on 80 % of the nodes, report on all splits: accuracy and per-class scores.
 
@@ -128,7 +140,7 @@ def evaluate_database(pa: DataFrame, ani_edges: DataFrame, meta: DataFrame, para
     emb = fused_embeddings(ani, hyp, params)
     known = first_by_accession(meta.withColumn("Accession", strip_version("Accession")))
     split = materialize(seeded_split(emb.select("node"), 0.8, 0.1), "split")
-    pairs = training_pairs(split.select("node"), [ani, hyp], params.seed)
+    pairs = training_pairs(split.select("node"), [ani, hyp], params.seed, params.random_partners)
     bounds = materialize(relationship_bounds(pairs, known, ranks), "bounds")
     parts = {}
     for offset, name in enumerate(("train", "val", "test")):

@@ -6,33 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import strip_version
-from kinweave.operators.graph import edge_threshold
-from kinweave.operators.hits import ani_nonoverlap, best_hit, best_hit_by_bitscore, edge_list
+from kinweave.operators.graph import edge_threshold, strip_edge_versions, undirected_max
+from kinweave.operators.hits import ani_nonoverlap, ani_weight, best_hit_by_bitscore, hit_threshold_filter
 from kinweave.operators.sharing import (
     hallmark_items, hypergeom_edges, hypergeom_edges_legacy, min_occurrence_filter, presence_absence,
 )
-from kinweave.operators.sketch import aligned_identity_distance, average_distance_matrices, sequence_slice
+from kinweave.operators.sketch import aligned_identity_distance, average_distance_matrices, kmer_sets, sequence_slice, sketch_ani
 from kinweave.plans.params import WorkflowParams
 from kinweave.sources.staging import materialize
 
 
 def gene_graph(protein_hits: DataFrame, params: WorkflowParams) -> DataFrame:
-    """Protein hits to the gene-sharing graph: best hits, presence, tested pairs above 0."""
-    best = edge_list(best_hit(protein_hits, params.evalue_max, params.bitscore_min))
-    pa = presence_absence(best.withColumn("query", strip_version("query")))
+    """Protein hits to the gene-sharing graph: presence, tested pairs above 0.
+
+    A pair has a best hit if any of its hits passes the thresholds, and presence asks no
+    more than that, so the best hit itself is not looked for.
+    """
+    found = hit_threshold_filter(protein_hits, params.evalue_max, params.bitscore_min)
+    pa = presence_absence(found.withColumn("query", strip_version("query")))
     return edge_threshold(hypergeom_edges(pa, params.hypergeom_alpha, params.max_freq, params.weight), 0.0)
 
 
 def identity_graph(genome_hits: DataFrame, params: WorkflowParams) -> DataFrame:
-    """Genome hits to the identity graph, from non-overlapping hits."""
-    return ani_nonoverlap(genome_hits, params.ani_alpha, params.len_weight, params.min_ani, params.identity_scale)
+    """Genome hits to the identity graph, from non-overlapping hits of genomes without their version."""
+    bare = genome_hits.withColumns({c: strip_version(c) for c in ("query", "target")})
+    return ani_nonoverlap(bare, params.ani_alpha, params.len_weight, params.min_ani, params.identity_scale)
+
+
+def sketch_graph(genomes: DataFrame, params: WorkflowParams) -> DataFrame:
+    """Genomes (id, seq) to the identity graph by shared k-mers: exact sets, pair identity, fraction weight."""
+    sets = kmer_sets(genomes, params.sketch_k)
+    pairs = ani_weight(sketch_ani(sets, sets, params.sketch_k), params.ani_fractions)
+    return undirected_max(strip_edge_versions(pairs.select("source", "target", "weight")))
 
 
-def build_graphs(protein_hits: DataFrame, genome_hits: DataFrame, params: WorkflowParams) -> DataFrame:
-    """Both graphs in one table (graph, source, target, weight)."""
+def build_graphs(protein_hits: DataFrame, genome_hits: DataFrame | None, params: WorkflowParams,
+                 genomes: DataFrame | None = None) -> DataFrame:
+    """Both graphs in one table (graph, source, target, weight); the identity graph comes from sketches if there are no hits."""
     columns = ["graph", "source", "target", "weight"]
     gene = gene_graph(protein_hits, params).withColumn("graph", F.lit("gene")).select(*columns)
-    ani = identity_graph(genome_hits, params).withColumn("graph", F.lit("ani")).select(*columns)
+    identity = sketch_graph(genomes, params) if genome_hits is None else identity_graph(genome_hits, params)
+    ani = identity.withColumn("graph", F.lit("ani")).select(*columns)
     return gene.unionByName(ani)
 
 

@@ -59,6 +59,12 @@ def stage_exists(spark: SparkSession, path: str) -> bool:
     return fs.getContentSummary(target).getLength() > 0
 
 
+def remove_stage(spark: SparkSession, path: str) -> None:
+    """Delete a written stage that no table is read from any more."""
+    fs, target = _hadoop_path(spark, path)
+    fs.delete(target, True)
+
+
 def stage_if_absent(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
     """Reuse the stage at ``path``; build and write it if absent, empty or forced."""
     if force or not stage_exists(spark, path):

@@ -11,7 +11,11 @@ from kinweave.functions.hypergeom import log_upper_tail
 from kinweave.operators import graph as G
 from kinweave.operators import hits as H
 from kinweave.operators import sharing as S
-from kinweave.operators.skew import first_by, pairs_within, running_total, with_ordinal
+from kinweave.operators import sketch
+from kinweave.operators.skew import first_by, matched, pairs_within, running_total, with_ordinal
+from kinweave.plans.classify import classify_new
+from kinweave.plans.graphs import sketch_graph
+from kinweave.plans.params import WorkflowParams
 
 
 def exact_tail(c, a, b, u):
@@ -131,3 +135,30 @@ def test_cover_rounds(spark):
     assert [(r.round, r.target, r.freq) for r in picks][:2] == [(0, "x", 2), (0, "u", 1)]
     covered = {r.target for r in picks}
     assert all(covered & items for items in ({"x", "y"}, {"x"}, {"z"}, {"u", "v"}, {"w"}))
+
+
+def test_join_of_keys_that_are_hot_on_both_sides(spark):
+    left = spark.createDataFrame([("hot", n) for n in range(50)] + [("a", 50), ("only left", 51), (None, 52)], "key string, l int")
+    right = spark.createDataFrame([("hot", n) for n in range(40)] + [("a", 40), ("a", 41), ("only right", 42), (None, 43)], "key string, r int")
+    got = sorted((r.key, r.l, r.r) for r in matched(left, right, "key", "l", "r", block=8).collect())
+    assert got == sorted([("hot", i, j) for i in range(50) for j in range(40)] + [("a", 50, 40), ("a", 50, 41)])
+
+
+def test_exact_sketches_give_the_containments(spark):
+    records = spark.createDataFrame([("g.1 x", "abcdefgh"), ("h.1", "abcdefzz"), ("i.1", "q")], "id string, seq string")
+    sets = sketch.kmer_sets(records, 3)
+    found = {(r.Query_name, r.Ref_name): (r.Align_fraction_query, r.Align_fraction_ref) for r in sketch.sketch_ani(sets, sets, 3).collect()}
+    assert found["g.1 x", "h.1"] == (pytest.approx(400 / 6), pytest.approx(400 / 6)) and ("i.1", "i.1") not in found
+    edges = sketch_graph(records, WorkflowParams(sketch_k=3)).collect()
+    j = 4 / 8
+    assert [(r.source, r.target) for r in edges] == [("g", "h")]
+    assert edges[0].weight == pytest.approx((1 + math.log(2 * j / (1 + j)) / 3) * 4 / 6)
+
+
+def test_new_genomes_must_be_unique(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0)], "source string, target string, weight double")
+    items = spark.createDataFrame([("a.1", "g"), ("b.1", "g")], "query string, target string")
+    meta = spark.createDataFrame([("a", "F")], "Accession string, Family string")
+    twice = spark.createDataFrame([("b.1",), ("b.2",)], "query string")
+    with pytest.raises(ValueError):
+        classify_new(items, items, [edges, edges], meta, twice, "unused", WorkflowParams())
