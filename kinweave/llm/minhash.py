@@ -130,12 +130,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     rows: int = ROWS) -> DataFrame:
-    """One row per document: (doc_id, text_key, n_shingles, node, component_id, kept).
+    """One row per document: (doc_id, text_key, n_shingles, node, label, component_id, kept).
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of distinct five-word shingles.
     ``component_id`` is the least doc_id reachable, ``kept`` marks the rows that hold it.  Null and empty texts and
     texts of white space only have no set and stay alone.  Rows with one doc_id and different texts are linked by their
-    texts only.  A null doc_id never becomes a component_id unless the component has no other.  An empty table gives
+    texts only; ``label`` names the component of the texts, null without a set.  A null doc_id never becomes a component_id unless the component has no other.  An empty table gives
     an empty table.  Other columns of ``docs`` are not looked at, so their names do not matter.
     """
     rows_of = materialize(signatures(docs, id_col, text_col, bands_for(percent / 100, rows), rows), "signatures")
@@ -194,17 +194,22 @@ def _bucket_mates(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _per_document(rows_of: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = broadcast_if_small(materialize(labelled.join(least, "label").select("node", "component_id"), "components"))
+    of_node = broadcast_if_small(materialize(labelled.join(least, "label").select("node", "label", "component_id"), "components"))
     own = F.coalesce("component_id", "doc_id")
     return (rows_of.drop("bands").join(of_node, "node", "left")
-            .select("doc_id", "text_key", "n_shingles", "node", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")))
+            .select("doc_id", "text_key", "n_shingles", "node", "label", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Keep one document of each group, with all its columns; rows that repeat id and text stay once."""
+    """Keep one document of each group of linked texts, with all its columns; rows that repeat id and text stay once.
+
+    Of a group's rows the least doc_id is taken, then the least text_key.  Groups are told apart by their label: unlinked
+    texts that share a doc_id, or have none, are groups of their own.
+    """
     kept = materialize(near_duplicates(docs, id_col, text_col, percent).where("kept"), "kept")
     alone = kept.where("node is null").select("doc_id", "text_key")
-    chosen = kept.where("node is not null").groupBy("component_id", "doc_id").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
+    # rows of a component that are kept have one doc_id
+    chosen = kept.where("node is not null").groupBy("label", "doc_id").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
     ids = broadcast_if_small(materialize(alone.unionByName(chosen).distinct().toDF("_kept", "_key"), "kept"))
     rows = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.xxhash64(text_col) == F.col("_key")), "left_semi")
     once = kept.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()

@@ -254,6 +254,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in one.collect()) == [1, 2, 4]
 
 
+def test_unlinked_texts_with_one_id_or_none_are_all_kept(spark):
+    other, third = "a b c d e f g", "one two three four five six"
+    texts = [PROSE * 4, other, third, PROSE * 4 + "end", other + " ", third, third, "p q r s t u", "p q r s t u", "", None]
+    ids = [1, 1, None, None, None, None, 7, None, None, None, 8]
+    table = docs(spark, texts, ids=ids)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(table).collect()), key=str)
+    assert kept == sorted([(1, PROSE * 4), (1, other), (7, third), (None, "p q r s t u"), (None, ""), (8, None)], key=str)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((20, 16))
