@@ -159,7 +159,7 @@ def _(spark, d):
 @query("node_embeddings")
 def _(spark, d):
     edges = G.symmetrize_with_loops(spark_view(spark, d, "v_edges"))
-    return walks.node_embeddings(edges, dim=16, epochs=1, walks_per_node=2)
+    return walks.node_embeddings(edges)
 
 
 # --- nearest neighbours by vector ----------------------------------------------------------

@@ -288,14 +288,14 @@ def side_rows(spark, d):
 @query("triangle_refine")
 def _(spark, d):
     rows = side_rows(spark, d)
-    model = ML.triangle_refine(rows, ML.ordinal_interval_fit(rows, K), 0.12, 2)
+    model = ML.triangle_refine(rows, ML.ordinal_interval_fit(rows, K))
     return model.transform(rows).select("id", "side", "lower", "upper", F.posexplode("probs").alias("cls", "prob"))
 
 
 @query("predict_rank")
 def _(spark, d):
     rows = side_rows(spark, d)
-    return ML.predict_rank(ML.triangle_refine(rows, ML.ordinal_interval_fit(rows, K), 0.12, 2), rows)
+    return ML.predict_rank(ML.triangle_refine(rows, ML.ordinal_interval_fit(rows, K)), rows)
 
 
 _BLEND = ", ".join(f"0.12 * {_p('la', k)} + 0.88 * {_p('lh', k)}" for k in range(1, K + 1))
