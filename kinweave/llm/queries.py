@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with their SQL where SQL can express them."""
+"""Registered queries of the operators, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, itq, langid, licenses, minhash, mixing, pii, topk, toxicity
+from kinweave.llm import bpe, chat, fim, itq, langid, licenses, lines, minhash, mixing, negatives, pii, topk, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -177,6 +177,64 @@ def op10_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tokens(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_line_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_repeated(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+with d as (select row_number() over () as id, doc_id, string_split(coalesce(text, ''), chr(10)) as body from documents),
+l as (select id, doc_id, unnest(body) as line, unnest(generate_series(1, len(body))) as line_no from d),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+r as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+m as (select k.*, r.first is not null and r.first <> k.doc_id as dropped from k left join r on k.key = r.key)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (not dropped), '')) as kept_sha256
+from m group by id, doc_id
+"""
+
+
+def op12_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over () as uid
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.uid as anchor, a.vec_id as anchor_id, c.uid, c.vec_id, a.label = c.label as same, coalesce(list_sum([p[1] * p[2] for p in list_zip(a.v, c.v)]), 0)::bigint as score
+      from e a join e c on a.uid <> c.uid and len(a.v) = len(c.v) where a.vec_id % 100 = 0),
+p as (select anchor, anchor_id, uid as positive, vec_id as positive_id, score as positive_score
+      from (select *, row_number() over (partition by anchor order by score desc, vec_id, uid) as r from s where same) where r <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor, p.positive order by s.score desc, s.vec_id, s.uid) as rank
+      from p join s on p.anchor = s.anchor and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.transform(table(spark, folder, "documents").select("doc_id", "text"), seed=7, rate=100, spm=50, restored="restored")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+OP13_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') as u from documents),
+h as (select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi from h),
+p as (select *, array_to_string(u[1:lo], '') as prefix, array_to_string(u[lo + 1:hi], '') as middle, array_to_string(u[hi + 1:], '') as suffix,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from p
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -185,7 +243,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_rotate_perspectives, op3_personal_data, op4_uniform_threshold, op5_toxicity_ftrl, op6_cross_parsing,
-    op7_license_scan, op8_circulant_minhash, op9_quantised_vectors, op10_tree_bpe, pipeline)}
+    op7_license_scan, op8_circulant_minhash, op9_quantised_vectors, op10_tree_bpe, op11_line_index, op12_tree_negatives, op13_fill_in_middle, pipeline)}
 
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_rotate_perspectives": OP2_SQL, "op4_uniform_threshold": OP4_SQL, "op7_license_scan": _op7_sql(),
-           "op8_circulant_minhash": OP8_SQL, "op9_quantised_vectors": OP9_SQL}
+           "op8_circulant_minhash": OP8_SQL, "op9_quantised_vectors": OP9_SQL, "op11_line_index": OP11_SQL, "op12_tree_negatives": OP12_SQL,
+           "op13_fill_in_middle": OP13_SQL}
