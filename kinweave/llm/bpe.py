@@ -6,8 +6,8 @@ A text is the leaves of a binary tree.  Leaves are encoded by themselves and joi
   on to the match's end and one character further.  So after a cut only matches that reach the cut or start less than
   ``AHEAD`` characters before it can change.  A join matches again from the first of these until a match ends where one
   of the right half's began; from there on matching goes the same way, as it never looks back.
-* Matches.  The bytes of one match are halved until a half is one byte.  A join takes the last token on the left and
-  the first on the right.  If this pair is what its own bytes encode to, the tokens stand side by side.  Else the
+* Matches.  The bytes of one match are halved until a half is at most ``SHORT`` bytes, whose neighbours are merged by rank.
+  A join takes the last token on the left and the first on the right.  If this pair is what its own bytes encode to, the tokens stand side by side.  Else the
   bytes of a window around the border are encoded again, and the window grows by one token on each side that has not
   settled, until the pairs at both ends of the window are stable.  A sequence in which every neighbouring pair encodes to
   itself is the encoding of its bytes: the first merge across a border would have happened in that pair as well.
@@ -18,6 +18,7 @@ Decoding concatenates the bytes of the tokens up the same tree.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,12 @@ from kinweave.llm.words import bounded, sub_batches
 
 AHEAD = 3
 LEAF = 1 << 14
-#: Distinct matches, halves and windows that a task remembers; each memory has two generations of this size.
-REMEMBERED = 1 << 16
-#: Bytes up to which a half or window is worth remembering.
-SHORT = 16
+#: Bytes of a leaf of a match, and of a window worth remembering.
+SHORT, WINDOW = 6, 16
+#: Bytes that a task's memory of matches takes, and its memories of leaves and of windows; each has two generations of this size.
+MATCH_BYTES, PART_BYTES = 18 << 20, 12 << 20
+#: Bytes of an entry besides its text and its ids: two objects and their place in a hash table.
+ENTRY_BYTES = 180
 NEVER = 1 << 62
 
 
@@ -45,19 +48,24 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """What was used of late: when the young generation is full, it becomes the old one and the old one is dropped."""
+    """What was used of late: when the young generation is full, it becomes the old one and the old one is dropped.
 
-    def __init__(self, make):
+    A generation is bounded in bytes, whatever the lengths of its entries; ``unit`` is what one item of a value takes.
+    """
+
+    def __init__(self, make, limit: int, unit: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.unit, self.old, self.used = make, limit, unit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= REMEMBERED:
+        self.used += ENTRY_BYTES + len(key) + self.unit * len(value)
+        if self.used > self.limit:
             self.old = dict(self)
             self.clear()
+            self.used = 0
         self[key] = value
         return value
 
@@ -68,13 +76,13 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.windows, self.halves = Memory(self._merge), Memory(self._halve)
+        self.windows, self.leaves = Memory(self._merge, PART_BYTES, 8), Memory(self._merge, PART_BYTES, 8)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Merge neighbours of least rank, the leftmost first, until none is left; for short windows."""
-        return self.windows[piece] if len(piece) <= SHORT else self._merge(piece)
+        return self.windows[piece] if len(piece) <= WINDOW else self._merge(piece)
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
+        """Merge neighbours of least rank, the leftmost first, until none is left; for leaves and short windows."""
         rank_of = self.ranks.get
         parts = [piece[i:i + 1] for i in range(len(piece))]
         ranks = [rank_of(piece[i:i + 2], NEVER) for i in range(len(piece) - 1)]
@@ -113,9 +121,8 @@ class Merges:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        return self.halves[piece] if len(piece) <= SHORT else self._halve(piece)
-
-    def _halve(self, piece: bytes) -> tuple[int, ...]:
+        if len(piece) <= SHORT:
+            return self.leaves[piece]
         middle = len(piece) // 2
         return self.join(self.encode(piece[:middle]), self.encode(piece[middle:]))
 
@@ -153,7 +160,11 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
-        self.packed = Memory(lambda match: np.array(self.merges.encode(match.encode()), "<u4").tobytes())
+        self.packed = Memory(self._pack, MATCH_BYTES, 1)
+
+    def _pack(self, match: str) -> bytes:
+        ids = self.merges.encode(match.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __reduce__(self):
         return Coder, (self.merges.ranks,)
