@@ -8,7 +8,7 @@ from kinweave.catalog import query
 from kinweave.catalog.views import oracle, spark_view, table
 from kinweave.functions.rng import hash_order_sql, uniform_sql
 from kinweave.operators import graph as G
-from kinweave.operators import neighbors, walks
+from kinweave.operators import embeddings, neighbors, walks
 from kinweave.operators.taxonomy import relationship_bounds
 
 UND_SQL = """und as (select least(source, target) as source, greatest(source, target) as target, max(weight) as weight
@@ -133,12 +133,12 @@ def _(spark, d):
 
 # --- walks ---------------------------------------------------------------------------------
 
-WALKS, LENGTH, SEED = 2, 10, 42
+WALKS, LENGTH, SEED = 200, 10, 42
 _U_MOVE = uniform_sql("w.walk_id", "2 * w.draw", SEED)
 _U_TAKE = uniform_sql("w.walk_id", "2 * w.draw + 1", SEED)
 
 
-@query("biased_random_walk", oracle(f"""with recursive {SYM_SQL}, {INDEX_SQL},
+_WALK_SQL = f"""{SYM_SQL}, {INDEX_SQL},
     rel as (select s.node_id as source_id, t.node_id as target_id, weight from sym join idx s on s.node = source join idx t on t.node = target),
     {adjacency_sql('rel', 'source_id', 'target_id')},
     w as (select node_id * {WALKS} + g as walk_id, cast(null as bigint) as prev, node_id as cur, cast(0 as bigint) as draw,
@@ -148,7 +148,10 @@ _U_TAKE = uniform_sql("w.walk_id", "2 * w.draw + 1", SEED)
       select w.*, a.neighbor as nxt, {_U_TAKE} * 2.0 < case when w.prev is null then 2.0 when a.neighbor = w.prev then 2.0
         when l.node is not null then 1.0 else 0.5 end as ok
       from w join adj a on a.node = w.cur and floor({_U_MOVE} * a.total) >= a.before and floor({_U_MOVE} * a.total) < a.before + a.mass
-      left join adj l on l.node = w.prev and l.neighbor = a.neighbor where w.step < {LENGTH}))
+      left join adj l on l.node = w.prev and l.neighbor = a.neighbor where w.step < {LENGTH}))"""
+
+
+@query("biased_random_walk", oracle(f"""with recursive {_WALK_SQL}
     select walk_id, step, idx.node from w join idx on idx.node_id = w.cur where moved""", "v_edges"))
 def _(spark, d):
     edges = G.symmetrize_with_loops(spark_view(spark, d, "v_edges"))
@@ -156,10 +159,18 @@ def _(spark, d):
     return out.select("walk_id", F.posexplode("nodes").alias("step", "node"))
 
 
+@query("walk_pairs", oracle(f"""with recursive {_WALK_SQL}, s as materialized (select walk_id, step, cur from w where moved)
+    select a.cur as centre, b.cur as context, cast(sum(6 - abs(a.step - b.step)) as bigint) as n
+    from s a join s b on a.walk_id = b.walk_id and a.step <> b.step and abs(a.step - b.step) <= 5 group by 1, 2""", "v_edges"))
+def _(spark, d):
+    edges = G.symmetrize_with_loops(spark_view(spark, d, "v_edges"))
+    return embeddings.walk_pairs(walks.walk_ids(G.relabel_edges(edges, G.index_nodes(edges)), LENGTH, 0.5, 2.0, WALKS, SEED))
+
+
 @query("node_embeddings")
 def _(spark, d):
     edges = G.symmetrize_with_loops(spark_view(spark, d, "v_edges"))
-    return walks.node_embeddings(edges)
+    return embeddings.node_embeddings(edges)
 
 
 # --- nearest neighbours by vector ----------------------------------------------------------

@@ -6,6 +6,7 @@ them exactly; ``rand()`` would not.  The SQL text is plain BIGINT arithmetic.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +40,21 @@ def uniform(id_sql: str, step_sql: str, seed: int) -> Column:
     return F.expr(uniform_sql(f"cast({id_sql} as bigint)", f"cast({step_sql} as bigint)", seed))
 
 
+def uniforms(ids: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
+    """The numbers of ``uniform`` for arrays of ids and steps, for code inside tasks."""
+    first, second = _stream(ids, steps, seed, 48271, 69621), _stream(ids, steps, seed + 1, 69621, 39373)
+    return (first * LOW + second % LOW) / float(MODULUS * LOW)
+
+
+def _stream(ids: np.ndarray, steps: np.ndarray, seed: int, a: int, b: int) -> np.ndarray:
+    m, low = MODULUS, ids % MODULUS
+    high = (ids - low) // m
+    x1 = (low * a + high * 16807 + steps * b + seed * 16807) % m
+    x2 = (x1 * x1 + low + 1) % m
+    x3 = (x2 * a + high + steps) % m
+    return ((x3 * x3 + seed) % m * a) % m
+
+
 def hash_order(salt: str, *keys: str) -> Column:
     """Text whose order is a fixed shuffle of the keys."""
     return F.md5(F.concat_ws("|", F.lit(salt), *[F.col(k).cast("string") for k in keys]))

@@ -18,7 +18,7 @@ from kinweave.operators.sharing import hypergeom_edges, merge_presence_absence
 from kinweave.operators.skew import with_ordinal
 from kinweave.operators.taxonomy import first_by_accession, rank_profile, relationship_bounds, validate_unique_ids
 from kinweave.operators.triangles import enough_nodes, sample_triangles, seeded_split, triangle_features
-from kinweave.operators.walks import node_embeddings
+from kinweave.operators.embeddings import node_embeddings
 from kinweave.plans.params import WorkflowParams
 from kinweave.sources.staging import materialize
 from kinweave.sources.writers import write_results

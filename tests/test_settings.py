@@ -28,8 +28,8 @@ def test_embeddings_and_refinement_run_on_the_published_settings(monkeypatch):
     published = WorkflowParams()
     monkeypatch.setattr(graphs, "spark_view", lambda *a: None)
     monkeypatch.setattr(graphs.G, "symmetrize_with_loops", lambda *a: None)
-    embed = signature(graphs.walks.node_embeddings)
-    monkeypatch.setattr(graphs.walks, "node_embeddings", lambda *a, **b: used.append(embed.bind(*a, **b)))
+    embed = signature(graphs.embeddings.node_embeddings)
+    monkeypatch.setattr(graphs.embeddings, "node_embeddings", lambda *a, **b: used.append(embed.bind(*a, **b)))
     queries["node_embeddings"](None, None)
     used[0].apply_defaults()
     for name in ("dim", "window", "epochs", "walk_length", "p", "q", "walks_per_node"):
