@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinweave.catalog import query
@@ -271,6 +272,33 @@ def _(spark, d):
     return each.select("vec_id", F.col("cls").cast("bigint").alias("cls"), F.round("prob", 6).alias("prob"))
 
 
+# given coefficients: weights and cuts of every threshold by a rule
+WEIGHTS = [[round(0.1 * ((3 * k + j) % 5 - 2), 1) for j in range(DIM)] for k in range(1, K)]
+CUTS = [-0.5, 0.25, 0.75]
+_Z = [f"(list_dot_product(x, {WEIGHTS[k - 1]}::double[]) - {CUTS[k - 1]})" for k in range(1, K)]
+
+
+def _going_on() -> str:
+    """Chance to go on beyond the interval: the product over the thresholds behind its lower end up to the one behind its upper end."""
+    return " * ".join(f"case when {k} > lower and {k} <= upper + 1 then q{k} else 1.0 end" for k in range(1, K))
+
+
+def _slope(k: int) -> str:
+    return (f"case when {k} <= lower then q{k} - 1 when {k} <= upper + 1 and upper < {K - 1} then r * (1 - q{k}) / (1 - r) else 0.0 end")
+
+
+@query("ordinal_gradient", oracle(f"""with e as (select list_transform(embedding, lambda v: v::double) as x, label % {K} as lower, least({K - 1}, label % {K} + vec_id % 2) as upper from embeddings),
+    q as (select *, {', '.join(f'1.0 / (1.0 + exp(-{_Z[k - 1]})) as q{k}' for k in range(1, K))} from e), r as (select *, {_going_on()} as r from q),
+    s as (select *, {' + '.join(f'case when {k} <= lower then -ln(q{k}) else 0.0 end' for k in range(1, K))} + case when upper < {K - 1} then -ln(1 - r) else 0.0 end as loss,
+      {', '.join(f'{_slope(k)} as s{k}' for k in range(1, K))} from r),
+    g as (select 0 as pos, sum(loss) as value from s
+      {' '.join(f"union all select {(k - 1) * DIM} + j, sum(s{k} * x[j]) from s, range(1, {DIM + 1}) t(j) group by j union all select {(K - 1) * DIM + k}, -sum(s{k}) from s" for k in range(1, K))})
+    select cast(pos as int) as pos, round(value, 6) as value from g"""))
+def _(spark, d):
+    sums = ML.loss_and_gradient(label_rows(spark, d), [(np.array(WEIGHTS), np.array(CUTS))], [None] * (K - 1))
+    return sums.select("pos", F.round("value", 6).alias("value"))
+
+
 @query("ordinal_interval_fit")
 def _(spark, d):
     rows = label_rows(spark, d)
