@@ -65,26 +65,24 @@ def _tested_pairs(pa: DataFrame, items: DataFrame, universe: int, alpha: float)
     """Pairs with ln P[shared >= c] <= ln alpha as (source, target, c, a, b, log_p).
 
     ``items`` holds the kept items with their frequency and id.  Pairs are counted on
-    integer ids; set sizes travel with the rows, so the pair aggregate needs no
-    second join.  Many pairs agree in (a, b, c): the tail is formed once per
-    distinct triple and joined back.  Triples and set names are broadcast if they
+    integer ids alone, so a pair takes three numbers on its way; one join per end then brings
+    set name and size.  Many pairs agree in (a, b, c): the tail is formed once per
+    distinct triple and joined back.  Triples and sets are broadcast if they
     are few enough.
     """
     rows = pa.join(items, "target")
     sets = _numbered(set_size(rows), "set", "sets")
-    sized = rows.join(sets, "query").select("item", "freq", "set", "size")
-    pairs = materialize(
-        pairs_within(sized, ["item"], "set", ["size"], freq="freq")
-        .groupBy("i", "j", F.col("size_i").alias("a"), F.col("size_j").alias("b"))
-        .agg(F.count("*").alias("c")), "pairs")
+    placed = rows.join(sets, "query").select("item", "freq", "set")
+    counted = pairs_within(placed, ["item"], "set", freq="freq").groupBy("i", "j").agg(F.count("*").alias("c"))
+    named = broadcast_if_small(sets)
+    left = named.select(F.col("set").alias("i"), F.col("query").alias("left"), F.col("size").alias("a"))
+    right = named.select(F.col("set").alias("j"), F.col("query").alias("right"), F.col("size").alias("b"))
+    pairs = materialize(counted, "pairs").join(left, "i").join(right, "j")
     c, a, b, u = F.col("c"), F.col("a"), F.col("b"), F.lit(universe).cast("bigint")
     triples = pairs.select("a", "b", "c").distinct()
     tails = materialize(triples.withColumn("log_p", log_upper_tail(c, a, b, u)), "tails")
     significant = broadcast_if_small(tails.where(F.col("log_p") <= math.log(alpha)))
-    names = broadcast_if_small(sets.select("query", "set"))
-    left = names.select(F.col("set").alias("i"), F.col("query").alias("left"))
-    right = names.select(F.col("set").alias("j"), F.col("query").alias("right"))
-    found = pairs.join(significant, ["a", "b", "c"]).join(left, "i").join(right, "j")
+    found = pairs.join(significant, ["a", "b", "c"])
     swap = F.col("left") > F.col("right")
     return found.select(F.least("left", "right").alias("source"), F.greatest("left", "right").alias("target"), "c",
                         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),

@@ -43,6 +43,29 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], group: Sequence[str] = (),
                          F.lit(1).cast("bigint"), name).drop("_hash")
 
 
+def nth_rows(df: DataFrame, keys: Sequence[str], group: Sequence[str], wanted: DataFrame, salt: str = "", digits: int = 3) -> DataFrame:
+    """The rows that ``with_ordinal`` would give the wanted ordinals, without numbering the others.
+
+    ``wanted`` holds the group and ``ordinal``, and comes back with the keys of its rows.  A histogram over the first
+    ``digits`` hex digits of the hash says which bucket an ordinal lies in; only rows of such buckets are sorted.  A
+    group's histogram has 16 ** digits entries at most, whatever the group holds.
+    """
+    rows = df.select(*group, *[k for k in keys if k not in group]).withColumn("_hash", hash_order(salt, *keys)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # buckets and ordinals of a group in one order: the last bucket that begins at or before an ordinal holds it
+    marks = starts.select(*group, F.col("_offset").alias("ordinal"), F.lit(0).alias("_asks"), "_bucket", "_offset").unionByName(
+        wanted.select(*group, "ordinal").distinct().withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*group).orderBy("ordinal", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (marks.withColumn("_bucket", F.last("_bucket", True).over(so_far)).withColumn("_offset", F.last("_offset", True).over(so_far))
+              .where("_asks = 1").drop("_asks"))
+    touched = rows.join(placed.select(*group, "_bucket", "_offset").distinct(), [*group, "_bucket"])
+    local = Window.partitionBy(*group, "_bucket").orderBy("_hash", *keys)
+    ranked = touched.withColumn("ordinal", F.col("_offset") + F.row_number().over(local) - 1).drop("_hash", "_bucket", "_offset")
+    return wanted.join(ranked, [*group, "ordinal"])
+
+
 def pairs_within(df: DataFrame, group: Sequence[str], id_col: str, carry: Sequence[str] = (),
                  block: int = 2048, freq: str | None = None) -> DataFrame:
     """Unordered id pairs sharing a group value: (group, i, j, carry_i, carry_j), i < j.

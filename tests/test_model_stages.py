@@ -102,3 +102,16 @@ def test_a_second_classification_redoes_nothing(spark, monkeypatch):
     classify.classify_queries(*tables, classify.WorkflowParams())
     classify.classify_queries(*tables, classify.WorkflowParams())
     assert len(runs) == 4
+
+
+def test_nth_rows_are_those_of_the_ordinals(spark):
+    from kinweave.operators.skew import nth_rows, with_ordinal
+
+    rows = spark.range(3000).select((F.col("id") % 7).alias("g"), F.concat(F.lit("k"), "id").alias("key")).where("g < 3 or key < 'k2'")
+    numbered = with_ordinal(rows, ["key"], ["g"], "s")
+    wanted = numbered.where("ordinal % 11 = 0 or ordinal < 2").select("g", "ordinal", F.lit(1).alias("more"))
+    wanted = wanted.union(wanted.limit(5))  # the same place may be asked for twice
+    for digits in (1, 3):
+        got = sorted(tuple(r) for r in nth_rows(rows, ["key"], ["g"], wanted, "s", digits).select("g", "ordinal", "more", "key").collect())
+        assert got == sorted(tuple(r) for r in wanted.join(numbered, ["g", "ordinal"]).select("g", "ordinal", "more", "key").collect())
+    assert nth_rows(rows.limit(0), ["key"], ["g"], wanted, "s").count() == 0
