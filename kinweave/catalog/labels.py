@@ -216,7 +216,7 @@ def _(spark, d):
 @query("select_two_neighbors", oracle("""with und as (select least(source, target) as source, greatest(source, target) as target, max(weight) as weight
     from v_edges where source <> target group by 1, 2),
     b as (select source as node, target as nb, weight as h, 1 - weight as a from und union all select target, source, weight, 1 - weight from und),
-    qs as (select Accession as node from v_taxa where Family = 'Unknown'), al as (select Accession as node from v_taxa where row_no % 20 = 0 and Family <> 'Unknown'),
+    qs as (select Accession as node from v_taxa where Family = 'Unknown'), al as (select Accession as node from v_taxa where Family <> 'Unknown'),
     hr as (select *, row_number() over (partition by node order by h desc, nb) as rk from b where node in (select node from qs)),
     ar as (select *, row_number() over (partition by node order by a desc, nb) as rk from b where node in (select node from qs)),
     h1 as (select node, min_by(nb, rk) as h_adj from hr where rk <= 50 and nb in (select node from al) group by node),
@@ -240,8 +240,7 @@ def _(spark, d):
 def _(spark, d):
     hyp = G.undirected_max(spark_view(spark, d, "v_edges"))
     ani = hyp.withColumn("weight", 1 - F.col("weight"))
-    taxa = spark_view(spark, d, "v_taxa").select(F.col("Accession").alias("node"), "Family", "row_no")
+    taxa = spark_view(spark, d, "v_taxa").select(F.col("Accession").alias("node"), "Family")
     vectors = table(spark, d, "embeddings").select(F.concat(F.lit("C"), "vec_id", F.lit(".1")).alias("node"), F.col("embedding").alias("emb"))
-    # few references, so that some queries have none among their neighbours and the vectors decide
     return N.select_two_neighbors(taxa.where("Family = 'Unknown'").select("node"), hyp, ani,
-                                  taxa.where("row_no % 20 = 0 and Family <> 'Unknown'").select("node"), vectors, 32)
+                                  taxa.where("Family <> 'Unknown'").select("node"), vectors, 32)
