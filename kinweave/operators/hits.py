@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import header_id
 from kinweave.operators.skew import first_by
+from kinweave.sources.staging import materialize
 
 PAIR = ("query", "target")
 
@@ -35,48 +34,73 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str = "row_no") -> Dat
     return first_by(df, keys, [F.col(order)])
 
 
-def _scan_without_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk rows sorted by pair and rank; keep a hit that overlaps no kept hit of its pair.
+def _overlap(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    return (start < other_end) & (other_start < end)
 
-    State is the kept intervals of the current pair: the forward ones are
-    disjoint, so the one starting last before the new end decides.
-    """
-    pair, starts, ends, reverse = None, [], [], []
-    for batch in batches:
-        keep = []
-        for q, t, qs, qe in zip(*[batch[c].to_pylist() for c in ("query", "target", "qstart", "qend")]):
-            if pair != (q, t):
-                pair, starts, ends, reverse = (q, t), [], [], []
-            at = bisect_left(starts, qe)
-            overlaps = at > 0 and ends[at - 1] > qs
-            if not overlaps and reverse:
-                overlaps = any(qs < e and s < qe for s, e in reverse)
-            keep.append(not overlaps)
-            if not overlaps and qs < qe:
-                at = bisect_left(starts, qs)
-                starts.insert(at, qs)
-                ends.insert(at, qe)
-            elif not overlaps:
-                reverse.append((qs, qe))
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
-def greedy_overlap_filter(hits: DataFrame) -> DataFrame:
+
+def greedy_overlap_filter(hits: DataFrame, group_rows: int = 1000) -> DataFrame:
     """Per pair, hits by pident * alnlen descending; keep those overlapping no kept one.
 
-    Of hits on the same forward interval only the heaviest can be kept, so the
-    others go in a map-side aggregate first.  The rest is scanned in sorted
-    order with only the kept intervals in memory; a pair is never collected.
-    Reverse intervals (qstart >= qend) do not overlap one another and all stay
-    in the scan.
+    Ties go by start, end and the other columns.  The hits of a pair with up to ``group_rows`` of them are folded in one
+    expression; those of larger pairs are kept and dropped in rounds over coordinate bins (``_keep_by_rounds``), which gives
+    the same hits and holds no pair in one place.
+    """
+    rank = -(F.col("pident") * F.col("alnlen"))
+    rest = [c for c in hits.columns if c not in (*PAIR, "qstart", "qend")]
+    large = materialize(hits.groupBy(*PAIR).agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select(*PAIR), "large-pairs")
+    some = large.isEmpty()
+    few = hits if some else hits.join(large.alias("l"), [hits[c].eqNullSafe(F.col(f"l.{c}")) for c in PAIR], "left_anti")
+    ordered = F.array_sort(F.collect_list(F.struct(rank.alias("_rank"), "qstart", "qend", *rest)))
+    listed = few.groupBy(*PAIR).agg(ordered.alias("_hits"))
+    nothing = F.slice("_hits", 1, 0)
+    kept = F.aggregate("_hits", nothing, lambda held, h: F.when(
+        F.exists(held, lambda k: _overlap(h["qstart"], h["qend"], k["qstart"], k["qend"])), held).otherwise(F.concat(held, F.array(h))))
+    folded = listed.select(*PAIR, F.explode(kept).alias("h")).select(*[F.col(c) if c in PAIR else F.col(f"h.{c}").alias(c) for c in hits.columns])
+    if some:
+        return folded
+    many = hits.join(large.alias("l"), [hits[c].eqNullSafe(F.col(f"l.{c}")) for c in PAIR], "left_semi")
+    return folded.unionByName(_keep_by_rounds(many.withColumn("_rank", rank)).select(*hits.columns))
+
+
+def _keep_by_rounds(hits: DataFrame) -> DataFrame:
+    """The greedy choice for pairs of any size, as rounds of local decisions.
+
+    A forward hit lies in all bins it covers, a reverse hit (qstart >= qend), which only overlaps forward ones that span
+    it, in the bin of its end.  A forward hit that comes before all live hits of its bins is kept; so is a reverse hit
+    that comes before all live forward ones of its bin.  Then the hits that overlap a kept one go.  The first live hit of
+    a pair is always kept, so rounds end; each keeps one forward hit a bin at most, so dropping is an equality join.
     """
-    weight = -(F.col("pident") * F.col("alnlen"))
-    rest = [c for c in hits.columns if c not in ("query", "target", "qstart", "qend")]
-    forward = first_by(hits.where("qstart < qend"), ["query", "target", "qstart", "qend"], [weight])
-    ranked = forward.unionByName(hits.where("qstart >= qend")).withColumn("_rank", weight)
-    ordered = (ranked.repartition("query", "target")
-               .sortWithinPartitions("query", "target", "_rank", "qstart", "qend", *rest))
-    return ordered.mapInArrow(_scan_without_overlap, ordered.schema).drop("_rank")
+    spark, rest = hits.sparkSession, [c for c in hits.columns if c not in (*PAIR, "_rank", "qstart", "qend")]
+    once = first_by(hits.where("qstart < qend"), [*PAIR, "qstart", "qend"], [F.col("_rank")]).unionByName(hits.where("qstart >= qend"))
+    numbered = materialize(once, "ranked").withColumn("_id", F.monotonically_increasing_id()).withColumn("_pair", F.struct(*PAIR)).withColumn("_forward", F.col("qstart") < F.col("qend"))
+    numbered = materialize(numbered.withColumn("_order", F.struct("_rank", "qstart", "qend", *rest, "_id")), "numbered")
+    widths = numbered.groupBy("_pair").agg(F.greatest(F.ceil(F.avg(F.when(F.col("_forward"), F.col("qend") - F.col("qstart")))), F.lit(1)).alias("_width"))
+    placed = numbered.join(widths, [numbered["_pair"] == widths["_pair"]]).drop(widths["_pair"]).withColumn("_width", F.coalesce("_width", F.lit(1)))
+    bin_of = lambda c: F.floor(c / F.col("_width")).cast("bigint")
+    bins = F.when(F.col("_forward"), F.sequence(bin_of(F.col("qstart")), bin_of(F.col("qend") - 1))).otherwise(F.array(bin_of(F.col("qend"))))
+    live = materialize(placed.select("_pair", "_id", "_order", "_forward", "qstart", "qend", F.explode(bins).alias("_bin")), "live")
+    chosen = []
+    while not live.isEmpty():
+        firsts = live.groupBy("_pair", "_bin").agg(F.min(F.when(F.col("_forward"), F.col("_order"))).alias("_first"), F.min(F.when(~F.col("_forward"), F.col("_order"))).alias("_reverse"))
+        before = F.when(F.col("_forward"), (F.col("_order") == F.col("_first")) & F.coalesce(F.col("_order") < F.col("_reverse"), F.lit(True))).otherwise(
+            F.coalesce(F.col("_order") < F.col("_first"), F.lit(True)))
+        kept = materialize(live.join(firsts, ["_pair", "_bin"]).groupBy("_id").agg(F.bool_and(before).alias("kept")).where("kept").select("_id"), "kept")
+        chosen.append(kept)
+        marked = materialize(live.join(kept.withColumn("_kept", F.lit(True)), "_id", "left"), "marked")
+        taken = marked.where("_kept and _forward").select("_pair", "_bin", F.col("qstart").alias("_s"), F.col("qend").alias("_e"))
+        left = marked.where("_kept is null").join(taken, ["_pair", "_bin"], "left")
+        # kept reverse hits of a bin from the highest end down: one that ends behind a start and begins before an end overlaps
+        spans = left.select("_pair", "_bin", "_id", "_order", "_forward", "qstart", "qend", "_s", "_e", F.when(F.col("_forward"), F.col("qstart")).otherwise(F.col("qend")).alias("_at"), F.lit(1).alias("_asks"))
+        backs = marked.where("_kept and not _forward").select("_pair", "_bin", F.col("qend").alias("_at"), F.col("qstart").alias("_back"), F.lit(0).alias("_asks"))
+        above = Window.partitionBy("_pair", "_bin").orderBy(F.desc("_at"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        swept = spans.unionByName(backs, allowMissingColumns=True).withColumn("_nearest", F.min("_back").over(above)).where("_asks = 1")
+        hit = F.coalesce(_overlap(F.col("qstart"), F.col("qend"), F.col("_s"), F.col("_e")), F.lit(False)) | (F.col("_forward") & F.coalesce(F.col("_nearest") < F.col("qend"), F.lit(False)))
+        gone = materialize(swept.where(hit).select("_id").distinct(), "gone")
+        live = materialize(marked.where("_kept is null").drop("_kept").join(gone, "_id", "left_anti"), "live")
+    ids = spark.createDataFrame([], "_id bigint")
+    for kept in chosen:
+        ids = ids.unionByName(kept)
+    return numbered.join(ids, "_id", "left_semi")
 
 
 def ani_simple(hits: DataFrame) -> DataFrame:

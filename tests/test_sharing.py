@@ -97,7 +97,8 @@ def greedy(rows):
     return sorted(kept)
 
 
-def test_overlap_filter_with_reverse_hits(spark):
+@pytest.mark.parametrize("group_rows", [1000, 50, 0])
+def test_overlap_filter_with_reverse_hits(spark, group_rows):
     rng = random.Random(5)
     groups = {}
     for pair in (("q", "hot"), ("q", "t"), ("r", "t")):
@@ -111,11 +112,21 @@ def test_overlap_filter_with_reverse_hits(spark):
     df = spark.createDataFrame([(*p, *r) for p, rows in groups.items() for r in rows],
                                "query string, target string, pident double, alnlen int, qstart int, qend int")
     got = {}
-    for r in H.greedy_overlap_filter(df).collect():
+    for r in H.greedy_overlap_filter(df, group_rows).collect():
         got.setdefault((r.query, r.target), []).append((r.pident, r.alnlen, r.qstart, r.qend))
     assert {k: sorted(v) for k, v in got.items()} == {k: greedy(v) for k, v in groups.items()}
 
 
+@pytest.mark.parametrize("group_rows", [1000, 0])
+def test_overlap_filter_on_ties_nulls_and_nothing(spark, group_rows):
+    schema = "query string, target string, pident double, alnlen int, qstart int, qend int, more string"
+    rows = [(None, "t", 90.0, 10, 1, 11, "b"), (None, "t", 90.0, 10, 1, 11, "a"), (None, None, 50.0, 10, 5, 5, "x"), ("q", "t", 10.0, 1, 1, 1000000, "long"),
+            ("q", "t", 90.0, 10, 10, 20, "y"), ("q", "t", 90.0, 10, 20, 30, "z"), ("q", "t", 80.0, 10, 25, 15, "back"), ("q", "t", 80.0, 10, 25, 15, "back")]
+    kept = H.greedy_overlap_filter(spark.createDataFrame(rows, schema), group_rows).collect()
+    assert sorted(r.more for r in kept) == ["a", "back", "back", "x", "y", "z"]
+    assert H.greedy_overlap_filter(spark.createDataFrame([], schema), group_rows).count() == 0
+
+
 def test_loops_only_and_empty_graphs(spark):
     loops = spark.createDataFrame([("a", "a", 2.0), ("b", "b", 3.0)], "source string, target string, weight double")
     assert sorted(G.symmetrize_with_loops(loops).collect()) == [("a", "a", 3.0), ("b", "b", 3.0)]
