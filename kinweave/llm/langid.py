@@ -20,14 +20,14 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from kinweave.llm.words import bounded, sub_batches
 
-#: Rows per language that a model is made of (those of least hash), and characters that each row gives.  Many short
-#: excerpts keep a repeated passage or a text in two languages from standing for its language.
+#: Distinct texts per language that a model is made of (those of least hash), and characters that each gives, from a place
+#: that its hash chooses.  Many short excerpts keep a repeated passage or a text in two languages from standing for its language.
 SAMPLE_ROWS = 96
 SAMPLE_CHARS = 256
-#: A text is read in pieces of so many bytes, all of them; a phrase ends where a piece does.
+#: A text is read in pieces of so many bytes, all of them, and phrases go on from piece to piece.
 PIECE = 2048
 #: Pieces read at a time: bounds a task's memory for a batch of any size.
-LANES = 16_384
+LANES = 4096
 UNKNOWN = "und"
 
 
@@ -88,45 +88,101 @@ class Parser:
             ended = table < 0
             table = np.where(ended, first[None, :], table)
             ended[0] = False  # the start is no phrase's end
-            tables.append(((table + offset) * width * 2 + ended).astype(np.int32))
+            tables.append((table + offset) * width * 2 + ended)
             self.roots.append(offset * width)
             offset += alone + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        assert self.table.size < 1 << 30
-        self.roots = np.array(self.roots, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
+        kind = np.int32 if 2 * self.table.size < 1 << 31 else np.int64
+        self.table, self.roots = self.table.astype(kind), np.array(self.roots, kind)
 
     def phrases(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each piece (rows) in each language (columns); an open phrase at a piece's end counts as one."""
-        out = np.zeros((len(starts), len(self.roots)), np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        for at in range(0, len(order), LANES):
-            lanes = order[at:at + LANES]
-            begin, size = starts[lanes], sizes[lanes]
-            place = np.repeat(self.roots[None, :], len(lanes), axis=0)
-            count = np.zeros(place.shape, np.int32)
-            live = len(lanes)
-            for i in range(int(size[0]) if live else 0):
-                while size[live - 1] <= i:
-                    live -= 1
-                went = self.table[place[:live] + self.symbol[raw[begin[:live] + i]][:, None]]
-                count[:live] += went & 1
-                place[:live] = went >> 1
-            out[lanes] = count + (size > 0)[:, None]
-        return out
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
+        """Phrases of each text (rows) in each language (columns); an open phrase at a text's end counts as one."""
+        pieces = -(-sizes // PIECE)
+        row = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = starts[row] + nth * PIECE
+        size = np.minimum(PIECE, starts[row] + sizes[row] - begin)
+        count, place = np.zeros((len(row), len(self.roots)), np.int64), np.zeros((len(row), len(self.roots)), self.table.dtype)
+        for at in range(0, len(row), LANES):
+            some = slice(at, at + LANES)
+            # a piece whose predecessor lies in the lanes before goes on from where that ended
+            before = place[at - 1] if at and nth[at] else None
+            count[some], place[some] = self._read(raw, begin[some], size[some], nth[some], before)
+        out = np.zeros((len(sizes), len(self.roots)), np.int64)
+        np.add.at(out, row, count)
+        return out + (sizes > 0)[:, None]
+
+    def _steps(self, raw, begin, size, place):
+        """Read pieces side by side from given places: per byte the pieces still read (longest first) and where phrases end before it."""
+        live = len(begin)
+        for i in range(int(size[0]) if live else 0):
+            while size[live - 1] <= i:
+                live -= 1
+            went = self.table[place[:live] + self.symbol[raw[begin[:live] + i]][:, None]]
+            place[:live] = went >> 1
+            yield i, live, (went & 1).astype(bool)
+
+    def _read(self, raw, begin, size, nth, before):
+        """(phrase ends, last place) of pieces that follow one another in their texts (``nth`` counts them).
+
+        All pieces are first read from the start of a phrase.  Then each is read again from where its predecessor ended, until
+        a phrase ends where one of the first reading does; from there on both go the same way.  Only where that does
+        not happen within the piece is its end another one, and its successor is read once more.
+        """
+        order = np.argsort(-size, kind="stable")
+        ends = np.zeros((len(begin), len(self.roots), int(size.max(initial=0))), bool)
+        place = np.repeat(self.roots[None, :], len(begin), axis=0)
+        for i, live, ended in self._steps(raw, begin[order], size[order], place):
+            ends[:live, :, i] = ended
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        ends, last = ends[back], place[back]
+        fresh = ends.sum(axis=2)
+        count = fresh.copy()
+        ends[:, :, :1] = True  # the first reading began a phrase there
+        first_last = last.copy()
+        again = np.flatnonzero((nth > 0) & ((np.arange(len(nth)) > 0) | (before is not None)))
+        while len(again):
+            again = again[np.argsort(-size[again], kind="stable")]
+            place = np.where((again > 0)[:, None], last[again - 1], before if before is not None else 0).astype(self.table.dtype)
+            seen, passed = np.zeros(place.shape, np.int64), np.zeros(place.shape, np.int64)
+            met, total = np.zeros(place.shape, bool), np.zeros(place.shape, np.int64)
+            for i, live, ended in self._steps(raw, begin[again], size[again], place):
+                here = ends[again[:live], :, i]
+                seen[:live] += ended
+                passed[:live] += here
+                new = ended & here & ~met[:live]
+                total[:live][new] = (seen[:live] + fresh[again[:live]] + 1 - passed[:live])[new]
+                met[:live] |= new
+                if met.all():
+                    break
+            count[again] = np.where(met, total, seen)
+            end = np.where(met, first_last[again], place)
+            changed = again[(end != last[again]).any(axis=1)]
+            last[again] = end
+            follows = changed + 1
+            again = follows[(follows < len(nth))]
+            again = again[nth[again] > 0]
+        return count, last
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Keep an excerpt of ``sample_chars`` characters of each of the ``sample_rows`` labelled rows of least hash.
+    """Keep an excerpt of ``sample_chars`` characters of each of the ``sample_rows`` labelled texts of least hash.
 
+    Equal texts of a language count once.  The excerpt begins at a place that the text's hash chooses, anywhere in the text.
     Rows without a language or without text are not used.  At most languages * rows * characters come to the driver.
     Without labelled rows the model has no language.
     """
-    rank = F.struct(F.xxhash64(F.col(key_col).cast("string"), F.col(text_col)).alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), rank["h"].alias("h"), rank["t"].alias("t"))
-    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= sample_rows)
+    hashed = F.xxhash64(F.lit("text"), F.col(text_col))
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).alias("_text"))
+    distinct = rows.groupBy("lang", "h").agg(F.count("*").alias("copies"))
+    best = distinct.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_rows).drop("copies")
+    room = F.greatest(F.length("_text") - sample_chars, F.lit(0)) + 1
+    place = (F.pmod(F.xxhash64(F.lit("place"), F.col("_text")), room.cast("bigint")) + 1).cast("int")
+    picked = rows.join(best, ["lang", "h"]).groupBy("lang", "n").agg(F.min(F.lower(F.substring(F.col("_text"), place, F.lit(sample_chars)))).alias("t"))
     found: dict[str, list[bytes]] = {}
-    for r in sorted(best.select("lang", "n", F.lower("t").alias("t")).collect(), key=lambda r: (r.lang, r.n)):
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.n)):
         found.setdefault(r.lang, []).append(r.t.encode())
     return Model(sorted(found), [b"\n".join(found[k]) for k in sorted(found)])
 
@@ -152,13 +208,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
             raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
             size = np.diff(edges)
-            pieces = -(-size // PIECE)
-            row = np.repeat(np.arange(len(size)), pieces)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            starts = edges[:-1][row] + nth * PIECE
-            counts = parser.phrases(raw, starts, np.minimum(PIECE, edges[1:][row] - starts)) if m.languages else np.zeros((len(row), 0))
-            total = np.zeros((len(size), len(m.languages)))
-            np.add.at(total, row, counts)
+            total = parser.phrases(raw, edges[:-1], size) if m.languages else np.zeros((len(size), 0))
             estimate = total * weight[None, :] / np.maximum(1, size)[:, None]
             labels, scores = [], []
             for k in range(len(size)):

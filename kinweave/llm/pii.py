@@ -258,7 +258,11 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> D
     """Replace personal data in the text by ``<KIND>``; where spans overlap, the one that starts first names the whole.
 
     Only the candidates are written in between; the texts are scanned a second time instead.  Null texts stay null.
+    All columns are kept, whatever their names.
     """
+    given = docs.columns
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    named, text_col = text_col, "_text"
     model = fit(materialize(scan(docs.select(F.col(text_col).alias("_text")), "_text").select("candidates").where("size(candidates) > 0"), "candidates"))
     hidden = with_spans(scan(docs, text_col), model, threshold)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
@@ -267,4 +271,5 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> D
     done = F.aggregate(ordered, state, lambda a, s: F.when(s["start"] >= a["at"], F.struct(
         s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("out"))
     ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), 2**31 - 1)))
-    return hidden.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).drop("base_spans", "spans")
+    written = hidden.select("_row", F.when(F.size("spans") > 0, done).otherwise(text).alias("_text"))
+    return written.select(*[F.col("_text").alias(c) if c == named else F.col(f"_row.`{c}`").alias(c) for c in given])

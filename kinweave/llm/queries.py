@@ -56,22 +56,23 @@ def op2_rotate_perspectives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP2_SQL = """
-with r as (
+with n as (
   select conv_id, floor(turn / 64)::bigint as part, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as said,
     row_number() over () as id from conversations),
-v as (select p.conv_id, p.part, s.speaker as perspective from (select distinct conv_id, part from r) p
+r as (select *, ((row_number() over (partition by conv_id, part order by turn nulls last, speaker, said, id) - 1) // 64)::bigint as piece from n),
+v as (select p.conv_id, p.part, p.piece, s.speaker as perspective from (select distinct conv_id, part, piece from r) p
       join (select distinct conv_id, speaker from r) s on p.conv_id is not distinct from s.conv_id),
 x as (
-  select v.conv_id, v.part, v.perspective, r.turn, r.speaker, r.said, r.id, r.speaker = v.perspective as own,
+  select v.conv_id, v.part, v.piece, v.perspective, r.turn, r.speaker, r.said, r.id, r.speaker = v.perspective as own,
     case when r.speaker = v.perspective then '<|assistant|>' else '<|user name=' || r.speaker || '|>' end as head, r.said || '<|end|>' as body
-  from v join r on r.conv_id is not distinct from v.conv_id and r.part is not distinct from v.part),
+  from v join r on r.conv_id is not distinct from v.conv_id and r.part is not distinct from v.part and r.piece = v.piece),
 o as (
-  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, part, perspective order by turn nulls last, speaker, said, id
+  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, part, piece, perspective order by turn nulls last, speaker, said, id
     rows between unbounded preceding and 1 preceding), 0)::bigint as pos from x)
-select conv_id, perspective, part, count(*) as n_turns, count(*) filter (own) as n_own, sum(length(head) + length(body) + 1)::bigint as n_chars,
+select conv_id, perspective, part, piece, count(*) as n_turns, count(*) filter (own) as n_own, sum(length(head) + length(body) + 1)::bigint as n_chars,
   coalesce(string_agg((pos + length(head))::varchar || ':' || (pos + length(head) + length(body))::varchar, ',' order by pos) filter (own), '') as masks,
   string_agg(head || body || chr(10), '' order by pos) as text
-from o group by conv_id, part, perspective
+from o group by conv_id, part, piece, perspective
 """
 
 
