@@ -16,7 +16,8 @@ from kinweave.sources.staging import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; trained as op5 is."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(queries.remainder("doc_id", 3) != 1)
-    return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return toxicity.score(packed, toxicity.fit(docs, labels), keep=["row"]).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
