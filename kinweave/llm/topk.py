@@ -1,32 +1,39 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
-A vector's dimensions are dealt to ``SLICES`` lists; an entry of a list is the part of the score that its dimensions
-give.  Phase one gathers each list's k best entries per query.  The exact scores of the rows gathered give the k-th best
-so far, t.  A row whose parts all lie below the uniform cutoff t / SLICES has a score below t and cannot be among the best.
-Phase two sends the cutoffs out and collects the rows that have a part at the cutoff or above and whose parts, each
-missing one counted as the cutoff, can reach t.  Phase three resolves the scores of those rows exactly.
-
-Queries go out in blocks of a fixed size in bytes; each block reads the candidates as they lie, without a shuffle.  Tasks
-hold one tile of rows times queries, and send k rows per query and tile at most.
+A vector's dimensions are dealt to ``SLICES`` lists that lie apart, as tables of their own; an entry of a list is the part
+of a score that its dimensions give.
+
+1. Every list gives its best entries per query.  The exact scores of the vectors gathered give the k-th best so far, t.
+2. The uniform cutoff t / SLICES goes to all lists, with the queries' blocks.  A vector whose parts all lie below it scores
+   below t, so the entries at or above it are sufficient: the lists collect these.  A vector whose known parts, with every
+   missing one counted as the cutoff, cannot reach t goes.
+3. Only the missing parts of the vectors left are fetched, and their scores are exact.
+
+Equal vectors are one class with its first k + 1 ids, so a group of copies is one entry.  Queries, cutoffs and entries are tables;
+a block of queries meets a block of a list by an equality join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from kinweave.llm.negatives import _kind, _matrix
 from kinweave.sources.staging import materialize
 
-SLICES = 4
-#: Bytes of query components in a block, rows and queries of a tile.
-BLOCK_BYTES = 16 << 20
-TILE_ROWS, TILE_QUERIES = 4096, 256
-HIT = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
+SLICES = 2
+#: Rows and queries of a block.
+ROWS, QUERIES = 8192, 512
+#: Stands for a query that has no cutoff: fewer than k vectors were gathered, so every entry is sufficient.
+NO_CUT = -(1 << 63)
+BLOCK = StructType([StructField("slice", LongType()), StructField("dim", LongType()), StructField("block", LongType()), StructField("size", LongType()), StructField("width", IntegerType()),
+                    *[StructField(c, BinaryType()) for c in ("ids", "cuts", "v")]])
+ENTRY = StructType([StructField(c, LongType()) for c in ("query", "slice", "cls", "part")])
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -41,92 +48,70 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.select(F.col(id_col).cast("bigint").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    edges, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return [values[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-
-
-class Tiles:
-    """Partial scores of tiles of rows and queries of the same length."""
-
-    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in sorted({len(v) for v in vectors}):
-            at = [i for i, v in enumerate(vectors) if len(v) == size]
-            self.by_size[size] = (ids[at], np.array([vectors[i] for i in at], np.int64).reshape(len(at), size))
-
-    def each(self, ids: np.ndarray, vectors: list[np.ndarray]):
-        """(query ids, row ids, parts) of every tile; parts[s, q, r] is exact, in floats where those are exact."""
-        for size, (q_ids, q) in self.by_size.items():
-            at = [i for i, v in enumerate(vectors) if len(v) == size]
-            for a in range(0, len(at), TILE_ROWS):
-                some = at[a:a + TILE_ROWS]
-                x = np.array([vectors[i] for i in some], np.int64).reshape(len(some), size)
-                for b in range(0, len(q), TILE_QUERIES):
-                    part = q[b:b + TILE_QUERIES]
-                    largest = float(np.abs(x).max(initial=0)) * float(np.abs(part).max(initial=0)) * max(1, size)
-                    kind = np.float64 if largest < 2.0 ** 52 else object if largest >= 2.0 ** 62 else np.int64
-                    lists = [part[:, s::SLICES].astype(kind) @ x[:, s::SLICES].astype(kind).T if size > s else np.zeros((len(part), len(x)), kind) for s in range(SLICES)]
-                    parts = np.stack(lists)
-                    # a row never meets itself
-                    own = np.asarray(q_ids[b:b + TILE_QUERIES])[:, None] == ids[some][None, :]
-                    yield q_ids[b:b + TILE_QUERIES], ids[some], parts, own
-
-
-def _best(q_ids, r_ids, totals, allowed, k):
-    """The k best allowed rows of each query of a tile, ties to the smaller id."""
-    q, r = np.nonzero(allowed)
-    score = totals[q, r].astype(np.int64)
-    order = np.lexsort((r_ids[r], -score, q))
-    q, r, score = q[order], r[order], score[order]
-    first = np.searchsorted(q, q)
-    kept = np.arange(len(q)) - first < k
-    return q_ids[q[kept]], r_ids[r[kept]], score[kept]
-
-
-def _pass(rows: DataFrame, work) -> DataFrame:
-    def run(batches):
+def _pack(key: tuple, table: pa.Table) -> pa.Table:
+    size = len(table["v"][0])
+    v = _matrix(table["v"], size)
+    reach = max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0))))
+    width = 2 if reach < 1 << 15 else 4 if reach < 1 << 31 else 8
+    row = [k.as_py() for k in key] + [size, width, table["id"].to_numpy().astype("<i8").tobytes(), table["cut"].to_numpy().astype("<i8").tobytes(), v.astype(f"<i{width}").tobytes()]
+    types = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
+    return pa.table({f: pa.array([x], t) for f, x, t in zip(BLOCK.names, row, types, strict=True)})
+
+
+def _blocks(classes: DataFrame, rows: int, number: int) -> DataFrame:
+    """One row per list and block of vectors (id, cut, v) of one length: a list holds every ``SLICES``-th dimension."""
+    sliced = classes.withColumn("dim", F.size("v").cast("bigint")).withColumn("slice", F.explode(F.array(*[F.lit(s).cast("bigint") for s in range(SLICES)])))
+    part = F.filter("v", lambda x, i: i % SLICES == F.col("slice"))
+    dealt = sliced.select("slice", "dim", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-number // rows)))).cast("bigint").alias("block"), "id", "cut", part.alias("v"))
+    return dealt.groupBy("slice", "dim", "block").applyInArrow(_pack, BLOCK)
+
+
+def _entries(queries: DataFrame, lists: DataFrame, blocks: int, k: int | None) -> DataFrame:
+    """Entries (query, slice, cls, part) of every list: each query's ``k`` best of a block, or all at its cutoff or above."""
+    sides = ["size", "width", "ids", "cuts", "v"]
+    left = (queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+            .select("slice", "dim", "block", F.struct(*sides).alias("q")))
+    right = lists.select("slice", "dim", "block", F.struct(*sides).alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(work(batch.column(0).to_numpy(), _lists(batch.column(1))))
-            if found:
-                q, r, s = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64())], names=HIT.names)
-    return rows.select("vec_id", "v").mapInArrow(run, HIT)
-
-
-def _search(rows: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], k: int) -> DataFrame:
-    spark = rows.sparkSession
-    tiles = spark.sparkContext.broadcast(Tiles(ids, vectors))
-
-    def gather(r_ids, r_vectors):
-        for q_ids, some, parts, own in tiles.value.each(r_ids, r_vectors):
-            seen = np.zeros(own.shape, bool)
-            for part in parts:
-                lowered = np.where(own, -np.inf, part.astype(np.float64))
-                if lowered.shape[1] > k:
-                    np.put_along_axis(seen, np.argpartition(-lowered, k - 1, axis=1)[:, :k], True, axis=1)
+            for i in range(batch.num_rows):
+                q, r = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                (q_ids, x), (r_ids, y) = ((np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["v"], f"<i{b['width']}").reshape(len(b["ids"]) // 8, b["size"])) for b in (q, r))
+                kind = _kind(y, x)
+                parts = (x.astype(kind) @ y.astype(kind).T).astype(np.int64) if x.shape[1] else np.zeros((len(x), len(y)), np.int64)
+                if k is None:
+                    cuts = np.frombuffer(q["cuts"], "<i8")
+                    # least whole part p with SLICES * p >= cutoff
+                    least = np.where(cuts == NO_CUT, NO_CUT, -(-cuts // SLICES))
+                    row, at = np.nonzero(parts >= least[:, None])
+                elif parts.shape[1] > k:
+                    at = np.argpartition(-parts, k - 1, axis=1)[:, :k].ravel()
+                    row = np.repeat(np.arange(len(x)), k)
                 else:
-                    seen[:] = True
-            yield _best(q_ids, some, parts.sum(axis=0), seen & ~own, k)
+                    row, at = np.indices(parts.shape).reshape(2, -1)
+                if len(row):
+                    made = (q_ids[row], np.full(len(row), batch.column(0)[i].as_py()), r_ids[at], parts[row, at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=ENTRY.names)
+
+    width = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = right.repartition(width, "slice", "dim", "block").join(left, ["slice", "dim", "block"])
+    return met.select("slice", "q", "r").mapInArrow(run, ENTRY)
+
+
+def _score(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
 
-    gathered = _pass(rows, gather).distinct()
-    # one number per query of the block: its k-th best score so far, null if it has fewer rows
-    kth = gathered.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.try_element_at("s", F.lit(k)).alias("t"))
-    cutoffs = spark.sparkContext.broadcast({r.query_id: r.t for r in kth.collect()})
+def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Exact scores (query, cls, score) of pairs."""
+    with_rows = pairs.join(classes.select(F.col("id").alias("cls"), F.col("v").alias("_r")), "cls")
+    return with_rows.join(queries.select(F.col("id").alias("query"), F.col("v").alias("_q")), "query").select("query", "cls", _score(F.col("_q"), F.col("_r")).alias("score"))
 
-    def collect(r_ids, r_vectors):
-        for q_ids, some, parts, own in tiles.value.each(r_ids, r_vectors):
-            t = [cutoffs.value.get(q) for q in q_ids.tolist()]
-            least = np.array([-np.inf if x is None else float(x) for x in t])[:, None]
-            uniform = least / SLICES
-            slack = np.abs(uniform) * 1e-12  # the cutoff is rounded; never cut too much
-            high = parts >= (uniform - slack)[None]
-            bound = np.where(high, parts, uniform[None] + slack[None]).sum(axis=0)
-            sufficient = high.any(axis=0) & (bound >= least - 4 * slack) & ~own
-            totals = parts.sum(axis=0)
-            yield _best(q_ids, some, totals, sufficient & (totals >= least - 4 * slack), k)
 
-    return _pass(rows, collect)
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -136,17 +121,33 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     with the query's id.  Ties go to the smaller vec_id.  No queries or no rows: an empty table.  Scores beyond 64 bits
     are an error.
     """
-    rows = materialize(rows, "rows")
-    queries = materialize(queries.select("vec_id", "v"), "queries")
-    widest = queries.agg(F.max(F.size("v")), F.count("*")).first()
-    per_block = max(1, BLOCK_BYTES // (8 * max(1, widest[0] or 1)))
-    blocks = -(-widest[1] // per_block)
-    found = [rows.sparkSession.createDataFrame([], HIT)]
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if block:
-            found.append(materialize(_search(rows, np.array([r.vec_id for r in block], np.int64), [np.array(r.v, np.int64) for r in block], k), "hits"))
-    hits = reduce(DataFrame.unionByName, found)
-    # k rows per query and tile at most; they are cut to k per task before they meet
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.s")).alias("score"))
+    first_ids = Window.partitionBy("v").orderBy("vec_id")
+    # of equal vectors no more than k and the query itself can be among the best
+    some = rows.select("vec_id", "v").withColumn("n", F.row_number().over(first_ids)).where(F.col("n") <= k + 1)
+    none = F.lit(NO_CUT).cast("bigint").alias("cut")
+    classes = materialize(some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("id"), none, "v", "ids"), "classes")
+    asked = materialize(queries.select("vec_id", "v"), "queries")
+    askers = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("id")).select("id", none, "v"), "askers")
+    n_rows, n_asked = classes.count(), askers.count()
+    blocks = max(1, -(-n_rows // ROWS))
+    lists = materialize(_blocks(classes, ROWS, n_rows), "lists")
+
+    gathered = _entries(_blocks(askers, QUERIES, n_asked), lists, blocks, k + 1)
+    in_list = Window.partitionBy("query", "slice").orderBy(F.desc("part"), "cls")
+    gathered = gathered.withColumn("n", F.row_number().over(in_list)).where(F.col("n") <= k + 1).select("query", "cls").distinct()
+    kth = _best(_resolved(gathered, askers, classes), k + 1).where(F.col("place") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("cut"))
+    cuts = materialize(askers.drop("cut").join(kth, "id", "left").select("id", F.coalesce("cut", none).alias("cut"), "v"), "cutoffs")
+
+    collected = _entries(_blocks(cuts, QUERIES, n_asked), lists, blocks, None)
+    known = collected.groupBy("query", "cls").agg(F.sum("part").alias("known"), F.count("*").alias("seen"))
+    bound = known.join(cuts.select(F.col("id").alias("query"), "cut"), "query")
+    reaches = F.when(F.col("cut") == NO_CUT, F.lit(True)).otherwise(F.col("known") * SLICES + (SLICES - F.col("seen")) * F.col("cut") >= F.col("cut") * SLICES)
+    left = materialize(bound.where(reaches).select("query", "cls", "known", "seen"), "sufficient")
+    whole = left.where(F.col("seen") == SLICES).select("query", "cls", F.col("known").alias("score"))
+    scored = _best(whole.unionByName(_resolved(left.where(F.col("seen") < SLICES).select("query", "cls"), cuts, classes)), k + 1)
+
+    listed = scored.join(classes.select(F.col("id").alias("cls"), F.explode("ids").alias("vec_id")), "cls").select("query", "vec_id", "score")
+    named = asked.join(askers.select(F.col("id").alias("query"), "v"), "v").select(F.col("vec_id").alias("query_id"), "query")
+    ranked = named.join(listed, "query").where("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return ranked.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

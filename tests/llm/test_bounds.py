@@ -82,3 +82,28 @@ def test_stages_keep_columns_of_any_name(spark):
 def test_redacted_texts_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "mail a.b@example.com now", 7, "s"), (2, None, 8, "t")], "doc_id int, text string, base int, spans string")
     assert sorted(tuple(r) for r in pii.redact(docs).select("doc_id", "text", "base", "spans").collect()) == [(1, "mail <EMAIL> now", 7, "s"), (2, None, 8, "t")]
+
+
+# --- uniform threshold ---------------------------------------------------------------------
+
+def test_only_sufficient_entries_are_collected(spark, monkeypatch):
+    from kinweave.llm import topk
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-40, 41, 16)]) for i in range(900)] + [(1000 + i, [30.0] * 16) for i in range(500)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    sizes, resolved = [], topk._resolved
+    monkeypatch.setattr(topk, "_resolved", lambda pairs, *a: sizes.append(pairs.count()) or resolved(pairs, *a))
+    monkeypatch.setattr(topk, "ROWS", 200)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    whole = topk.whole_vectors(table, scale=1)
+    found = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(whole, whole.where("vec_id % 20 = 0"), 5).collect()]
+    v = np.array([r[1] for r in rows])
+    want = []
+    for n, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-int(s), rows[m][0]) for m, s in enumerate(v @ v[n]) if m != n)[:5]
+            want += [(i, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted(found) == sorted(want)
+    queries, classes = 46, 901
+    assert len(sizes) == 2 and sizes[0] <= queries * 2 * 6 and sizes[1] < 0.2 * queries * classes
