@@ -11,6 +11,7 @@ that meets in several tables counts in the first only, which its two codes tell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,10 @@ from kinweave.sources.staging import broadcast_if_small, materialize
 #: Vectors that the rotation is learned on at most; those of least hash.
 SAMPLE = 8192
 ROUNDS = 30
-#: Bits of a substring and number of tables.  At cosine 0.93 a bit differs with a probability of 0.12, so a pair at the
-#: threshold is missed with (1 - 0.88 ** 8) ** 12 < 0.6 %; closer pairs less.
-TABLE_BITS, TABLES = 8, 12
+#: Least bits of a substring and least number of tables.  Substrings get longer with the logarithm of the vectors, so that a
+#: bucket stays about as large; tables are added until planted pairs at the threshold are missed no more often than MISSED.
+#: Where MOST tables do not get there, one table with one word compares all vectors of a group.
+TABLE_BITS, TABLES, MOST, MISSED, BUCKET = 8, 12, 96, 0.003, 256
 BLOCK = 1024
 MADE = StructType([StructField("node", LongType()), StructField("links", LongType()), StructField("other", LongType())])
 
@@ -55,6 +57,39 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int = 7, rounds: int = R
     return mean, np.concatenate(made, axis=1)
 
 
+def fit_tables(sample: np.ndarray, bits: int, threshold: float, tables: int = TABLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, projections, tables) for a sample of unit vectors: as few tables as catch planted pairs; no tables if MOST are not enough.
+
+    A planted pair is a vector of the sample and another at cosine ``threshold`` in a drawn direction; the pairs of least
+    cosine that the sample itself links must be caught as well.  If the vectors share a direction, what remains of them
+    without it lies further apart, bits differ more often, and more tables are needed.
+    """
+    rng = np.random.default_rng(seed)
+    x = sample[:2048]
+    cosines = np.triu(x @ x.T, 1)
+    a, b = np.nonzero((cosines >= threshold) & (cosines < 1 - 1e-9))
+    least = np.argsort(cosines[a, b])[:2048]
+    own = (x[a[least]], x[b[least]])
+    drawn = rng.standard_normal(x.shape)
+    drawn -= (drawn * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((drawn * drawn).sum(axis=1, keepdims=True))
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * drawn / np.where(length > 0, length, 1)
+    while tables <= MOST:
+        mean, projections = learn_rotation(sample, tables * bits, seed)
+        missed = np.zeros(tables)
+        for one, other in ((x, y), own):
+            if len(one):
+                same = ((one - mean) @ projections >= 0) == ((other - mean) @ projections >= 0)
+                met = same.reshape(len(one), tables, bits).all(axis=2)
+                missed = np.maximum(missed, 1 - np.logical_or.accumulate(met, axis=1).mean(axis=0))
+        enough = np.flatnonzero(missed <= MISSED)
+        if len(enough):
+            tables = max(TABLES, int(enough[0]) + 1) if tables > TABLES else tables
+            return mean, projections[:, :tables * bits], tables
+        tables *= 2
+    return mean, projections[:, :0], 0
+
+
 def usable(vector: Column) -> Column:
     """True for vectors that are not null, not zero, and hold no null or non-finite component."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -171,7 +206,7 @@ def _made(found: list) -> pa.RecordBatch:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = "label",
-                    threshold: float = 0.93, tables: int = TABLES, bits: int = TABLE_BITS, sample: int = SAMPLE) -> DataFrame:
+                    threshold: float = 0.93, sample: int = SAMPLE) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
     Vectors of the same group (all, if ``group_col`` is None) and the same length are linked from cosine ``threshold``
@@ -185,14 +220,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.col("grp"), F.transform("v", lambda x: x.cast("string"))), 256)))
     rows = materialize(rows, "vectors")
     classes = rows.where("v is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("grp").alias("grp"), F.first("v").alias("v"))
-    # a class is named by a number made of its key, so that a rerun of a lost task gives the same
-    classes = materialize(classes.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("bigint")).withColumn("grp", F.concat_ws("|", F.size("v"), "grp")), "classes")
-    sizes = [r.n for r in classes.select(F.size("v").alias("n")).distinct().collect()]
+    # a class is named by a number of its own, read from the written table from here on
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("grp", F.concat_ws("|", F.size("v"), "grp")), "classes")
+    sizes = {r.n: r["count"] for r in classes.select(F.size("v").alias("n")).groupBy("n").count().collect()}
     made = None
     for n in sorted(sizes):
         same = classes.where(F.size("v") == n)
         drawn = same.select("v", F.xxhash64("key", F.lit(n)).alias("h")).orderBy("h").limit(sample).select("v").collect()
-        mean, projections = learn_rotation(_unit(np.array([r.v for r in drawn], float)), tables * bits)
+        units, bits, tables = _unit(np.array([r.v for r in drawn], float)), max(TABLE_BITS, math.ceil(math.log2(sizes[n] / BUCKET))) + 2, 0
+        while not tables and bits > TABLE_BITS + 1:
+            bits -= 2
+            mean, projections, tables = fit_tables(units, bits, threshold)
+        tables, bits = (tables, bits) if tables else (1, 0)
         coded = materialize(codes(same, n, mean, projections, tables, bits), "codes")
         found = links(coded, n, threshold, tables)
         made = found if made is None else made.unionByName(found)

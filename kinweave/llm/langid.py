@@ -176,11 +176,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     hashed = F.xxhash64(F.lit("text"), F.col(text_col))
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).alias("_text"))
+    # sample_rows hashes per language: as bounded as the model that is made of them
     distinct = rows.groupBy("lang", "h").agg(F.count("*").alias("copies"))
     best = distinct.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_rows).drop("copies")
     room = F.greatest(F.length("_text") - sample_chars, F.lit(0)) + 1
     place = (F.pmod(F.xxhash64(F.lit("place"), F.col("_text")), room.cast("bigint")) + 1).cast("int")
-    picked = rows.join(best, ["lang", "h"]).groupBy("lang", "n").agg(F.min(F.lower(F.substring(F.col("_text"), place, F.lit(sample_chars)))).alias("t"))
+    picked = rows.join(F.broadcast(best), ["lang", "h"]).groupBy("lang", "n").agg(F.min(F.lower(F.substring(F.col("_text"), place, F.lit(sample_chars)))).alias("t"))
     found: dict[str, list[bytes]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.n)):
         found.setdefault(r.lang, []).append(r.t.encode())

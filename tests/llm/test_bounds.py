@@ -107,3 +107,44 @@ def test_only_sufficient_entries_are_collected(spark, monkeypatch):
     assert sorted(found) == sorted(want)
     queries, classes = 46, 901
     assert len(sizes) == 2 and sizes[0] <= queries * 2 * 6 and sizes[1] < 0.2 * queries * classes
+
+
+# --- near-duplicate vectors ----------------------------------------------------------------
+
+@pytest.mark.parametrize("shared, many", [(0.0, False), (0.5, False), (0.8, False), (0.9, True)])
+def test_recall_where_vectors_share_a_direction(spark, shared, many):
+    from kinweave.llm import itq
+
+    rng = np.random.default_rng(11)
+    axis = np.zeros(64)
+    axis[0] = 1.0
+
+    def drawn(n):
+        x = rng.normal(size=(n, 64))
+        x[:, 0] = 0
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return np.sqrt(shared) * axis + np.sqrt(1 - shared) * x
+
+    base = drawn(1500)
+    r = rng.normal(size=(600, 64))
+    r -= (r * base[:600]).sum(axis=1, keepdims=True) * base[:600]
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    t = rng.uniform(0.931, 0.95, (600, 1))
+    x = np.concatenate([base, t * base[:600] + np.sqrt(1 - t * t) * r])
+    near = np.triu(x @ x.T >= 0.93, 1)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in itq.near_duplicates(rows).collect()}
+    want = near.sum(axis=1) + near.sum(axis=0)
+    assert all(found[i] <= n for i, n in enumerate(want)) and sum(found.values()) >= 0.99 * want.sum() and near.sum() >= 600
+    assert not many or near.sum() > 2000
+
+
+def test_tables_grow_with_the_bits_that_differ():
+    from kinweave.llm import itq
+
+    rng = np.random.default_rng(12)
+    x = itq._unit(rng.normal(size=(2000, 64)))
+    far = itq._unit(x * 0.5 + np.eye(64)[0])
+    assert itq.fit_tables(x, 8, 0.93)[2] < itq.fit_tables(far, 8, 0.93)[2]
+    assert itq.fit_tables(x, 8, 0.93)[2] < itq.fit_tables(x, 12, 0.93)[2]
+    assert itq.fit_tables(x, 24, 0.5)[2] == 0
