@@ -63,20 +63,78 @@ def _length(c: Column) -> Column:
     return F.length(c).cast("bigint")
 
 
+#: Fixed type of a located match.
+SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string>>"
+#: Elements of one block where positions of long arrays are formed in two steps.
+BLOCK = 64
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is formed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` elements; ``values`` must be a bound value."""
+    count = F.ceil(F.size(values) / BLOCK).cast("int")
+    numbers = F.filter(F.sequence(F.lit(0), count), lambda b: b < count)
+    return F.transform(numbers, lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, merge) -> Column:
+    """For each element of an array of bigint, the fold of all earlier ones with ``merge``, starting at 0.
+
+    Blocks are folded first, then the blocks before each block, then the elements before each element of its block, so
+    nothing grows element by element: n elements take about n * 32 + n * n / 8192 steps.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def earlier(xs: Column, start: Column) -> Column:
+        return F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i), start, merge))
+
+    def all_of(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, zero, merge))
+        starts = bound(sums, lambda known: earlier(known, zero))
+        return F.flatten(F.zip_with(blocks, starts, earlier))
+
+    return bound(values, lambda xs: bound(_blocks(xs), all_of))
+
+
 def located(text: Column, pattern: str, kind: str) -> Column:
     """Matches in order: array of (kind, start, end, match), in code points, end exclusive.
 
     The pieces between the matches and the matches themselves give the positions as running lengths.
     """
-    kind_of = "array<struct<kind:string,start:bigint,end:bigint,match:string>>"
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), _length(b).alias("gap"), _length(m).alias("size")))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind_of).alias("out"))
-    run = F.aggregate(zipped, state, lambda a, x: F.struct(
-        (a["at"] + x["gap"] + x["size"]).cast("bigint").alias("at"),
-        F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["m"].alias("match")))).alias("out")),
-        lambda a: a["out"])
-    return F.when(text.rlike(pattern), run).otherwise(F.array().cast(kind_of))
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(
+            m.alias("match"), _length(m).alias("size"), (_length(gap) + _length(m)).alias("step")))
+
+        def spans(each: Column) -> Column:
+            before = running(F.transform(each, lambda x: x["step"]), lambda total, step: total + step)
+            return F.zip_with(each, before, lambda x, at: F.struct(
+                F.lit(kind).alias("kind"), (at + x["step"] - x["size"]).alias("start"), (at + x["step"]).alias("end"), x["match"].alias("match")))
+
+        return bound(sizes, spans)
+
+    return F.when(text.rlike(pattern), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(F.array().cast(SPAN))
+
+
+def clear_of(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of ``taken``; they must not overlap one another, and come in order.
+
+    A span is hit if, of those taken that start before its end, one ends after its start.  So both are sorted into one
+    list, the taken by start and the spans by end, and the furthest end so far is carried along it.
+    """
+    def event(s: Column, at: str, side: int) -> Column:
+        return F.struct(s[at].alias("at"), F.lit(side).alias("side"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"))
+
+    def kept(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda e: F.when(e["side"] == 1, e["end"]).otherwise(F.lit(0).cast("bigint"))), lambda most, end: F.greatest(most, end))
+        free = F.zip_with(ordered, reach, lambda e, most: F.struct(((e["side"] == 0) & (most <= e["start"])).alias("free"), e.alias("e")))
+        return F.transform(F.filter(free, lambda x: x["free"]), lambda x: F.struct(*[x["e"][n].alias(n) for n in ("kind", "start", "end", "match")]))
+
+    events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s, "end", 0)), F.transform(taken, lambda s: event(s, "start", 1))))
+    return bound(events, kept)
 
 
 def digits_of(c: Column) -> Column:
@@ -104,7 +162,7 @@ def valid(kind: str, match: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """All base spans by kind as listed, then start; matches that fail their check are left out and not tried again."""
     hint = {"email": text.contains("@"), "phone": text.contains("+")}
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string>>")
+    none = F.array().cast(SPAN)
 
     def of(kind: str) -> Column:
         found = located(text, BASE[kind], kind)
@@ -115,13 +173,18 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """Loose matches clear of the base spans, with what stands before and after them."""
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string>>")
-    every = F.concat(*[F.when(text.rlike(HINT[k]), located(text, LOOSE[k], k)).otherwise(none) for k in KINDS])
-    clear = F.filter(every, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.transform(clear, lambda c: F.struct(
-        c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"),
-        F.substring(text, F.greatest(F.lit(1), c["start"] - AROUND + 1).cast("int"), F.least(F.lit(AROUND), c["start"]).cast("int")).alias("before"),
-        F.substring(text, (c["end"] + 1).cast("int"), F.lit(AROUND)).alias("after")))
+    def around(found: Column) -> Column:
+        # the surroundings of a block of spans are cut out of the text once
+        first = F.greatest(F.element_at(found, 1)["start"] - AROUND, F.lit(0))
+        near = F.substring(text, (first + 1).cast("int"), (F.element_at(found, -1)["end"] + AROUND - first).cast("int"))
+        return bound(F.struct(first.alias("first"), near.alias("near")), lambda cut: F.transform(found, lambda c: F.struct(
+            c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"),
+            F.substring(cut["near"], (F.greatest(c["start"] - AROUND, F.lit(0)) - cut["first"] + 1).cast("int"), F.least(F.lit(AROUND), c["start"]).cast("int")).alias("before"),
+            F.substring(cut["near"], (c["end"] - cut["first"] + 1).cast("int"), F.lit(AROUND)).alias("after"))))
+
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string,before:string,after:string>>")
+    return F.concat(*[F.when(text.rlike(HINT[k]), F.flatten(bound(clear_of(located(text, LOOSE[k], k), base), lambda clear: F.transform(
+        _blocks(clear), around)))).otherwise(none) for k in KINDS])
 
 
 def _by_kind(kind: Column, patterns: dict[str, str], value: Column) -> Column:
@@ -208,17 +271,15 @@ def fit(found: DataFrame, smooth: float = 0.5) -> Model:
     return Model(prior, weight)
 
 
-def added_spans(cands: Column, model: Model, threshold: float) -> Column:
-    """Candidates that the classifier takes; of two that overlap, the one found first in the order of kinds and starts."""
-    kind_of = "array<struct<kind:string,start:bigint,end:bigint>>"
+def accepted(cands: Column, model: Model, threshold: float) -> Column:
+    """Candidates that the classifier takes."""
     if not model.prior:
-        return F.array().cast(kind_of)
+        return F.array().cast(SPAN)
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv])
     odds = lambda c: F.coalesce(F.element_at(pairs(model.prior), c["kind"]), F.lit(-99.0)) + F.aggregate(
         features(c), F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(pairs(model.weight), F.concat(c["kind"], F.lit("|"), f)), F.lit(0.0)))
-    taken = F.filter(cands, lambda c: odds(c) >= math.log(threshold / (1 - threshold)))
-    slim = F.transform(taken, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return F.aggregate(slim, F.array().cast(kind_of), lambda a, c: F.when(F.exists(a, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), a).otherwise(F.concat(a, F.array(c))))
+    return F.transform(F.filter(cands, lambda c: odds(c) >= math.log(threshold / (1 - threshold))),
+                       lambda c: F.struct(*[c[n].alias(n) for n in ("kind", "start", "end", "match")]))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -229,12 +290,19 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_spans(scanned: DataFrame, model: Model, threshold: float = 0.9) -> DataFrame:
-    """Replace ``base`` and ``candidates`` by ``base_spans`` and ``spans``, each by kind as listed, then start."""
-    slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    """Replace ``base`` and ``candidates`` by ``base_spans`` and ``spans``, each by kind as listed, then start.
+
+    Of two candidates that overlap, the one found first in the order of kinds and starts stays.  Those of one kind do
+    not overlap, so a kind is taken at once: what is clear of the kinds before it.
+    """
+    of = lambda kind: F.filter("candidates", lambda c: c["kind"] == kind)
+    held = scanned.withColumn("candidates", accepted(F.col("candidates"), model, threshold)).withColumn("spans", of(KINDS[0]))
+    for kind in KINDS[1:]:
+        held = held.withColumn("spans", F.concat("spans", clear_of(of(kind), F.col("spans"))))
+    slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     rank = lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    ranked = F.array_sort(F.transform(F.concat("base_spans", added_spans(F.col("candidates"), model, threshold)), rank))
-    return (scanned.withColumn("base_spans", slim).withColumn("spans", F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-            .drop("base", "candidates"))
+    held = held.withColumn("base_spans", slim(F.col("base")))
+    return held.withColumn("spans", slim(F.array_sort(F.transform(F.concat("base_spans", slim(F.col("spans"))), rank)))).drop("base", "candidates")
 
 
 def find(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, keep: list[str] | None = None) -> DataFrame:
@@ -267,9 +335,20 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> D
     hidden = with_spans(scan(docs, text_col), model, threshold)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
     text = F.col(text_col)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(ordered, state, lambda a, s: F.when(s["start"] >= a["at"], F.struct(
-        s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("out"))
-    ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), 2**31 - 1)))
+
+    def pieces(block: Column) -> Column:
+        first = F.element_at(block, 1)["from"]
+        part = F.substring(text, (first + 1).cast("int"), (F.element_at(block, -1)["start"] - first).cast("int"))
+        return bound(F.struct(first.alias("first"), part.alias("part")), lambda cut: F.array_join(F.transform(block, lambda s: F.concat(
+            F.substring(cut["part"], (s["from"] - cut["first"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))), ""))
+
+    def replaced(spans: Column) -> Column:
+        # what ends furthest so far is where the text goes on; a span that starts before that point is part of the one before
+        ends = running(F.transform(spans, lambda s: s["end"]), lambda most, end: F.greatest(most, end))
+        heads = F.filter(F.zip_with(spans, ends, lambda s, most: F.struct(most.alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda s: s["start"] >= s["from"])
+        rest = F.substring(text, (F.array_max(F.transform(spans, lambda s: s["end"])) + 1).cast("int"), 2**31 - 1)
+        return F.concat(bound(heads, lambda known: F.array_join(F.transform(_blocks(known), pieces), "")), rest)
+
+    done = bound(ordered, replaced)
     written = hidden.select("_row", F.when(F.size("spans") > 0, done).otherwise(text).alias("_text"))
     return written.select(*[F.col("_text").alias(c) if c == named else F.col(f"_row.`{c}`").alias(c) for c in given])
