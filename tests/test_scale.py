@@ -1,10 +1,12 @@
 """What pair counts and k-mer sets shuffle and write, and their results against plain Python."""
 
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
-from kinweave.operators import sketch
+from kinweave.operators import sketch, skew
 
 RECORDS = "id string, seq string"
 
@@ -27,6 +29,23 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_pairs_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MEMBERS", 4)
+    rng = random.Random(3)
+    rows = [(f"t{rng.randrange(30)}", f"s{rng.randrange(40):02d}", 7) for _ in range(600)]
+    rows += [("hot", f"s{n:02d}", 7) for n in range(40)] + [(None, "s01", 7), ("t1", None, 7)]
+    out = skew.pair_counts(spark.createDataFrame(rows, "target string, query string, size int"), "target", "query", ["size"])
+    groups, want = {}, Counter()
+    for t, s, _ in rows:
+        if t and s:
+            groups.setdefault(t, []).append(s)
+    for members in groups.values():
+        want.update((min(p), max(p)) for p in itertools.combinations(members, 2) if p[0] != p[1])
+    assert {(r.i, r.j): r.c for r in out.collect()} == want
+    assert {(r.size_i, r.size_j) for r in out.collect()} == {(7, 7)}
+    assert not re.search(r"hashpartitioning\([^)]*\bj#", plan(out))
+
+
 def test_kmer_sketch_shuffles_smallest_hashes_only(spark, monkeypatch):
     monkeypatch.setattr(sketch, "PIECE", 128)
     out = sketch.kmer_sketch(spark.createDataFrame(texts(), RECORDS), 4, 8)
