@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from kinweave.operators import sketch, skew
 
 RECORDS = "id string, seq string"
@@ -79,3 +81,32 @@ def test_sketch_ani_writes_met_kmers_only(spark, monkeypatch):
     found = {(r.Query_name, r.Ref_name): r.Align_fraction_query for r in sketch.sketch_ani(*sets).collect()}
     assert found[("q", "r0")] == 100.0
     assert max(written) < 500
+
+
+def counted_by_hand(rows):
+    groups, want = {}, Counter()
+    for t, s, size in rows:
+        if t is not None and s is not None:
+            groups.setdefault(t, []).append((s, size))
+    for members in groups.values():
+        want.update((*min(p, q), *max(p, q)) for p, q in itertools.combinations(members, 2) if p[0] != q[0])
+    return want
+
+
+@pytest.mark.parametrize("cells, block_ids, rare", [(1 << 21, 64, 0), (500, 16, 400), (40, 400, 3000)])
+def test_pairs_of_large_groups_are_counted_by_blocks_of_ids(spark, monkeypatch, cells, block_ids, rare):
+    monkeypatch.setattr(skew, "TASK_PAIRS", 64)
+    monkeypatch.setattr(skew, "BLOCK_IDS", block_ids)
+    monkeypatch.setattr(skew, "CELLS", cells)
+    rng = random.Random(4)
+    rows = [(f"t{t}", f"s{s:03d}é", s % 3) for t in range(12) for s in range(120) if rng.random() < 0.7]
+    rows += [(f"u{rng.randrange(900)}", f"s{rng.randrange(120):03d}é", None) for _ in range(rare)]
+    rows += [*rows[:40], ("t1", "s001é", 9), (None, "s001é", 1), ("t1", None, 1)]
+    out = skew.pair_counts(spark.createDataFrame(rows, "target string, query string, size int"), "target", "query", ["size"])
+    got = {(r.i, r.size_i, r.j, r.size_j): r.c for r in out.collect()}
+    plain = Counter()
+    for (a, x, b, y), n in counted_by_hand([(t, s, -1 if z is None else z) for t, s, z in rows]).items():
+        plain[(a, None if x == -1 else x, b, None if y == -1 else y)] += n
+    assert got == plain
+    # groups of 80 ids sent their members to every bucket; now an id is sent once per block
+    assert "FlatMapGroupsInArrow" in plan(out)
