@@ -166,6 +166,16 @@ def test_exact_sketches_give_the_containments(spark):
     assert edges[0].weight == pytest.approx((1 + math.log(2 * j / (1 + j)) / 3) * 4 / 6)
 
 
+def test_pairs_of_one_collection_come_once(spark):
+    records = spark.createDataFrame([("g.1 x", "abcdefgh"), ("h.1", "abcdefzz"), ("i.1", "q"), ("h.2", "abcdxy"), (None, "abcd")], "id string, seq string")
+    sets = sketch.kmer_sets(records, 3)
+    both = {tuple(r)[2:] for r in sketch.sketch_ani(sets, sets, 3).where("Query_name < Ref_name").collect()}
+    once = sketch.sketch_ani(sets, None, 3).collect()
+    assert {tuple(r)[2:] for r in once} == both and len(once) == len(both) == 3
+    largest = max(r.ANI * max(r.Align_fraction_query, r.Align_fraction_ref) / 10000 for r in once if r.Query_name == "g.1 x")
+    assert [tuple(r) for r in sketch_graph(records, WorkflowParams(sketch_k=3)).collect()] == [("g", "h", pytest.approx(largest))]
+
+
 def test_new_genomes_must_be_unique(spark):
     edges = spark.createDataFrame([("a", "b", 1.0)], "source string, target string, weight double")
     items = spark.createDataFrame([("a.1", "g"), ("b.1", "g")], "query string, target string")
