@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,41 @@ def test_cover_rounds(spark):
     assert all(covered & items for items in ({"x", "y"}, {"x"}, {"z"}, {"u", "v"}, {"w"}))
 
 
+def covering(rows, top_n):
+    """The greedy cover on (set, item) rows, round by round; sets without a name are never covered, items without one end it."""
+    picks, turn = [], 0
+    while rows:
+        freq = Counter(item for _, item in rows)
+        top = sorted(freq, key=lambda i: (-freq[i], i is not None, i or ""))[:top_n]
+        picks += [(turn, n, i, freq[i]) for n, i in enumerate(top)]
+        met = {s for s, i in rows if i in top and i is not None}
+        rows = [] if None in top else [(s, i) for s, i in rows if (s is None or s not in met) and i not in top and i is not None]
+        turn += 1
+    return picks
+
+
+@pytest.mark.parametrize("items, rows", [(1 << 18, 1 << 21), (9, 1 << 21), (1 << 18, 60), (2, 1)])
+def test_cover_plays_rounds_in_one_task(spark, monkeypatch, items, rows):
+    rng = random.Random(8)
+    pairs = [(f"s{s:03d}", f"p{int(rng.expovariate(0.05))}") for s in range(120) for _ in range(rng.randint(1, 4))]
+    pairs += [(None, "p1"), (None, "only"), ("s001", None), ("s002", "p3"), ("s002", "p3")]
+    written, path = [], S.scratch_path
+    monkeypatch.setattr(S, "scratch_path", lambda session, label: written.append(label) or path(session, label))
+    monkeypatch.setattr(S, "COVER_ITEMS", items)
+    monkeypatch.setattr(S, "COVER_ROWS", rows)
+    got = sorted(tuple(r) for r in S.hallmark_items(spark.createDataFrame(pairs, "query string, target string"), 3).collect())
+    want = covering(pairs, 3)
+    assert got == want and want[-1][0] >= 8
+    if items > 1000 and rows > 1000:
+        assert written.count("cover") == 2  # one write for the first round, one for all others
+
+
+def test_cover_of_items_without_a_name_ends(spark):
+    pairs = [("a", None), ("b", None), ("c", "x"), ("d", "y")]
+    got = sorted(tuple(r) for r in S.hallmark_items(spark.createDataFrame(pairs, "query string, target string"), 1).collect())
+    assert got == [(0, 0, None, 2)]
+
+
 def test_join_of_keys_that_are_hot_on_both_sides(spark):
     left = spark.createDataFrame([("hot", n) for n in range(50)] + [("a", 50), ("only left", 51), (None, 52)], "key string, l int")
     right = spark.createDataFrame([("hot", n) for n in range(40)] + [("a", 40), ("a", 41), ("only right", 42), (None, 43)], "key string, r int")
